@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urlloom.llm import line_dedup, mixing
+from urlloom.llm import line_dedup, mixing, ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,12 +16,17 @@ def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, mixing.tempered_rates(docs))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op5_poisson_mixing": op5_poisson_mixing,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
 }
 
@@ -71,7 +76,29 @@ SELECT doc_id, CASE WHEN text IS NOT NULL THEN array_to_string(kept, chr(10)) EN
 FROM cut
 """
 
+_OP6_SQL = f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM {{docs}}
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {ngram_join.SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {ngram_join.SHINGLE} + 2), lambda i: array_to_string(w[i : i + {ngram_join.SHINGLE} - 1], ' '))) END AS s
+  FROM worded
+), grams AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {ngram_join.PERCENT} * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id AS u, doc_id AS v FROM {{docs}} UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
+), roots AS (
+  SELECT u, min(v) AS component_id FROM reach GROUP BY u
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id FROM sets s JOIN roots r ON s.doc_id = r.u
+"""
+
 ORACLE_SQL = {
     "op5_poisson_mixing": _OP5_SQL.format(docs="documents"),
+    "op6_ngram_jaccard_join": _OP6_SQL.format(docs="documents"),
     "op7_line_dedup": _OP7_SQL.format(docs="documents"),
 }
