@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from urlloom.llm import line_dedup, mixing, ngram_join
+from urlloom.llm import language_id, line_dedup, mixing, ngram_join, quality
+from urlloom.llm.common import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    found = language_id.predict(docs, language_id.train_profiles(docs.filter(~out)))
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.tempered_rates(docs))
@@ -24,10 +33,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
 
 
+def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out(F.col("doc_id"), 5, 0)
+    labels = _table(spark, sf_dir, "labels").filter(~out)
+    found = quality.train_and_score(_table(spark, sf_dir, "documents"), labels)
+    return found.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
+    "op3_rank_order_language_id": op3_rank_order_language_id,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
+    "op10_fourier_quality": op10_fourier_quality,
 }
 
 _OP5_SQL = f"""
