@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlloom.llm import language_id, line_dedup, mixing, ngram_join, quality
+from urlloom.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality
 from urlloom.llm.common import held_out
 
 
@@ -20,6 +20,10 @@ def op3_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", out.alias("held_out"), "lang_pred", "score")
 
 
+def op4_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated_pairs(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.tempered_rates(docs))
@@ -42,6 +46,7 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_rank_order_language_id": op3_rank_order_language_id,
+    "op4_spaced_seed_decontamination": op4_spaced_seed_decontamination,
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
