@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlloom.llm import decontaminate, language_id, line_dedup, mixing, ngram_join, quality
+from urlloom.llm import context_tree, decontaminate, language_id, line_dedup, mixing, ngram_join, quality
 from urlloom.llm.common import held_out
 
 
@@ -37,6 +37,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
 
 
+def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 10, 0)
+    found = context_tree.score(docs, docs.filter(~out))
+    return found.withColumn("held_out", out).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out(F.col("doc_id"), 5, 0)
     labels = _table(spark, sf_dir, "labels").filter(~out)
@@ -50,6 +57,7 @@ QUERIES = {
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
+    "op9_context_tree_weighting": op9_context_tree_weighting,
     "op10_fourier_quality": op10_fourier_quality,
 }
 
