@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlloom.llm import context_tree, decontaminate, language_id, line_dedup, mixing, ngram_join, quality
+from urlloom.llm import context_tree, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, vantage_point
 from urlloom.llm.common import held_out
 
 
@@ -37,6 +37,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(_table(spark, sf_dir, "documents"))
 
 
+def op8_vantage_point_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vantage_point.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 10, 0)
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_poisson_mixing": op5_poisson_mixing,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_line_dedup": op7_line_dedup,
+    "op8_vantage_point_neighbours": op8_vantage_point_neighbours,
     "op9_context_tree_weighting": op9_context_tree_weighting,
     "op10_fourier_quality": op10_fourier_quality,
 }
@@ -128,8 +133,26 @@ WITH RECURSIVE worded AS (
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, component_id FROM sets s JOIN roots r ON s.doc_id = r.u
 """
 
+_OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM {vectors}
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (
+  SELECT *, sqrt(list_reduce(list_transform(e, lambda x: x * x), lambda s, x: s + x)) AS length FROM v
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_reduce(list_transform(list_zip(c.e, q.e), lambda z: z[1] * z[2]), lambda s, x: s + x) / (c.length * q.length) AS score
+  FROM n q JOIN n c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 5
+"""
+
 ORACLE_SQL = {
     "op5_poisson_mixing": _OP5_SQL.format(docs="documents"),
     "op6_ngram_jaccard_join": _OP6_SQL.format(docs="documents"),
+    "op8_vantage_point_neighbours": _OP8_SQL.format(vectors="embeddings"),
     "op7_line_dedup": _OP7_SQL.format(docs="documents"),
 }
