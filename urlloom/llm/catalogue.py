@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlloom.llm import context_tree, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, vantage_point
+from urlloom.llm import context_tree, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, vantage_point, warc
 from urlloom.llm.common import held_out
 
 
@@ -13,6 +13,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.capture_histories(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -56,6 +61,7 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_index_merge": op1_warc_index_merge,
     "op3_rank_order_language_id": op3_rank_order_language_id,
     "op4_spaced_seed_decontamination": op4_spaced_seed_decontamination,
     "op5_poisson_mixing": op5_poisson_mixing,
@@ -150,7 +156,22 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM pairs QUALIFY rank <= 5
 """
 
+_OP1_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM {pages}
+), d AS (
+  SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (('0x' || substr(h, 5 * (i // 4)::BIGINT + 1, 5))::BIGINT >> (5 * (3 - i % 4))::INTEGER) % 32 + 1, 1)), '') AS payload_digest FROM p
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM k
+"""
+
 ORACLE_SQL = {
+    "op1_warc_index_merge": _OP1_SQL.format(pages="pages"),
     "op5_poisson_mixing": _OP5_SQL.format(docs="documents"),
     "op6_ngram_jaccard_join": _OP6_SQL.format(docs="documents"),
     "op8_vantage_point_neighbours": _OP8_SQL.format(vectors="embeddings"),
