@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlloom.llm import context_tree, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, vantage_point, warc
+from urlloom.llm import context_tree, decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, quality, vantage_point, warc
 from urlloom.llm.common import held_out
 
 
@@ -18,6 +18,10 @@ def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_rank_order_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"), 4, 2)
@@ -62,6 +66,7 @@ def op10_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_warc_index_merge": op1_warc_index_merge,
+    "op2_license_scan": op2_license_scan,
     "op3_rank_order_language_id": op3_rank_order_language_id,
     "op4_spaced_seed_decontamination": op4_spaced_seed_decontamination,
     "op5_poisson_mixing": op5_poisson_mixing,
