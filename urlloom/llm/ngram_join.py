@@ -10,9 +10,11 @@ Outline, all of it exact up to 64-bit hashes of shingles and of whole sets:
    partner. Over a content-defined quarter of the shingle space (all of it for short sets)
    we count the shingles that occur in one class only; a class with more of them than it may
    miss has no partner and goes. What is left is small.
-3. Inverted lists over the remaining classes name their smallest key as pivot; a block holds
-   all classes that share a listed shingle with its pivot. Any two classes that link meet in
-   at least one block. In a block every class asks a T-occurrence query of an inverted index.
+3. Among these, a class lists only its miss + 1 rarest shingles (of the quarter, and of the
+   whole space for short sets): two classes that link share one of those. A list names its
+   smallest key as pivot; a block holds all classes that list a shingle of its pivot's. Any
+   two classes that link meet in a block, and shingles of common passages stay out of it.
+   In a block every class asks a T-occurrence query of an inverted index, until one component is left.
 4. Blocks above ``block`` classes are dealt over tasks instead: first only the pivot asks;
    where its links and those of all other blocks join the block into one component, that
    settles it, else the classes outside the largest component ask all parts of the block.
@@ -28,7 +30,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlloom.llm.common import column_bytes, materialize, mix, word_hashes
@@ -78,6 +80,19 @@ def _listed(s: np.ndarray, percent: int, short: int) -> np.ndarray:
     return s if len(quarter) <= may_miss(n, percent) else quarter
 
 
+def _spaces(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a set in the whole space and in the quarter, as far as it lists them there.
+
+    Any two sets that can link list in one of the spaces both: short sets and those up to
+    their largest partner in the whole, long ones in the quarter. A long set whose quarter is
+    too thin to be sure of a shared shingle with its like lists in both.
+    """
+    n, none = len(s), s[:0]
+    quarter = s[(s & 3) == 0]
+    thin = len(quarter) <= may_miss(n, percent)
+    return (s if n * percent < SHORT * 100 or thin else none), (quarter if n >= SHORT else none)
+
+
 def set_table(docs: DataFrame, *, doc_id="doc_id", text="text", size=SHINGLE, percent=PERCENT, short=SHORT) -> DataFrame:
     """(doc_id, n_shingles, key, whole, listed): set size, class key and the listed shingles.
 
@@ -146,14 +161,16 @@ class InvertedIndex:
         self.member = member[order]
         self.tokens, self.starts = np.unique(tokens[order], return_index=True)
         self.ends = np.append(self.starts[1:], len(tokens))
+        lists = np.repeat(np.arange(len(self.tokens), dtype=np.int64), self.ends - self.starts)
+        self.entries = lists * max(1, len(sets)) + self.member  # ascending: by list, then member
 
-    def search(self, query: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
-        """(member, overlap) for all members that reach the similarity with the query.
+    def search(self, query: np.ndarray, percent: int = PERCENT, wanted=lambda m: True) -> Iterator[tuple[int, int]]:
+        """(member, overlap) for all ``wanted`` members that reach the similarity with the query.
 
         The overlap needed is at least T = ceil(percent / 100 * |query|). The T - 1 longest
         lists are set aside: a result occurs in at least one of the short ones. Short lists
-        are heap-merged, counting each member; for members met, the long lists are probed by
-        binary search for as long as their bound can be reached.
+        are heap-merged, counting each member; for members met, all long lists are probed by
+        binary search (in one call over list and member) unless the bound is out of reach.
         """
         n = len(query)
         if not n or not len(self.tokens):
@@ -169,18 +186,15 @@ class InvertedIndex:
         met = [(m, sum(1 for _ in run)) for m, run in groupby(heapq.merge(*short))]
         for m, count in met:
             size = int(self.sizes[m])
-            if size * 100 < percent * n or n * 100 < percent * size:
+            if size * 100 < percent * n or n * 100 < percent * size or not wanted(m):
                 continue
             # |a & b| * 100 >= percent * |a | b|  <=>  |a & b| * (100 + percent) >= percent * (|a| + |b|)
             needed = -(-percent * (n + size) // (100 + percent))
-            left = len(at) - n_short
-            for i in at[n_short:]:
-                if count >= needed or count + left < needed:
-                    break
-                a, b = self.starts[i], self.ends[i]
-                k = a + np.searchsorted(self.member[a:b], m)
-                count += bool(k < b and self.member[k] == m)
-                left -= 1
+            if count + len(at) - n_short < needed:
+                continue
+            probes = at[n_short:] * len(self.sizes) + m
+            hit = np.minimum(np.searchsorted(self.entries, probes), len(self.entries) - 1)
+            count += int((self.entries[hit] == probes).sum())
             if count >= needed:
                 yield m, count
 
@@ -203,31 +217,37 @@ class _Forest:
 
 
 def _search_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) found in blocks; rows: block, part, key, asks, member, s.
+    """Links (u, v) found in blocks; rows: block, part, key, root, asks, member, s.
 
-    Each (block, part) is one index over its members, asked by its ``asks`` rows. Only links
-    that join two trees of the block are put out, so there are fewer of them than rows.
+    Each (block, part) is one index over its members, asked by its ``asks`` rows. ``root`` is
+    the component that a key is known to be in. Only links that join two components are put
+    out, so there are fewer of them than rows.
     """
 
-    def links(group: list[tuple[int, bool, bool, np.ndarray]]) -> Iterator[tuple[int, int]]:
-        members = [(key, s) for key, _, member, s in group if member]
-        if not members or len(group) < 2:
+    def links(group: list[tuple[int, int, bool, bool, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        members = [(key, root, s) for key, root, _, member, s in group if member]
+        trees = len({root for _, root, *_ in group})
+        if not members or trees < 2:
             return
-        index, forest = InvertedIndex([s for _, s in members]), _Forest()
-        for key, asks, _, s in group:
+        index, forest = InvertedIndex([s for *_, s in members]), _Forest()
+        for key, root, asks, _, s in group:
             if asks:
-                for m, _ in index.search(s, percent):
-                    if forest.join(key, members[m][0]):
+                apart = lambda m, root=root: forest.root(root) != forest.root(members[m][1])
+                for m, _ in index.search(s, percent, apart):
+                    if forest.join(root, members[m][1]):
                         yield key, members[m][0]
+                        trees -= 1
+                if trees < 2:
+                    return
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flat():
             for batch in batches:
                 lists = batch.column("s")
                 values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-                cols = [batch.column(c).to_pylist() for c in ("block", "part", "key", "asks", "member")]
-                for i, (block, part, key, asks, member) in enumerate(zip(*cols, strict=True)):
-                    yield (block, part), (key, asks, member, values[offsets[i] : offsets[i + 1]].copy())
+                cols = [batch.column(c).to_pylist() for c in ("block", "part", "key", "root", "asks", "member")]
+                for i, (block, part, *row) in enumerate(zip(*cols, strict=True)):
+                    yield (block, part), (*row, values[offsets[i] : offsets[i + 1]].copy())
 
         found: list[tuple[int, int]] = []
         for _, group in groupby(flat(), key=lambda x: x[0]):
@@ -295,28 +315,38 @@ def similarity_components(
             for key, t in zip(batch.column("key").to_pylist(), column_bytes(batch, "text"), strict=True):
                 s = shingle_set(t, size)
                 if class_key(s) == key:  # another text can have the same doc id
-                    listed = _listed(s, percent, SHORT)
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([s], pa.list_(pa.int64())), pa.array([listed], pa.list_(pa.int64()))], ["key", "s", "listed"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key], pa.int64()), pa.array([s], pa.list_(pa.int64())), pa.array([len(s)], pa.int64()), *[pa.array([x], pa.list_(pa.int64())) for x in _spaces(s, percent)]],
+                        ["key", "s", "n", "in_whole", "in_quarter"],
+                    )
 
     reps = classes.select(F.col("rep").alias("doc_id"), "key").hint("shuffle_hash")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(reps, "doc_id")
-    made = texts.select("key", "text").mapInArrow(whole_sets, "key long, s array<long>, listed array<long>")
+    made = texts.select("key", "text").mapInArrow(whole_sets, "key long, s array<long>, n long, in_whole array<long>, in_quarter array<long>")
     kept = materialize(made.dropDuplicates(["key"]), "whole")
 
-    postings = kept.select("key", F.explode("listed").alias("t"))
-    pivots = postings.groupBy("t").agg(F.min("key").alias("block"), F.max("key").alias("last")).filter("block < last").select("t", "block")
-    members = materialize(postings.join(pivots, "t").select("block", "key").distinct(), "members")
+    listed = F.explode(F.array(F.struct(F.lit(0).alias("space"), F.col("in_whole").alias("ts")), F.struct(F.lit(1).alias("space"), F.col("in_quarter").alias("ts")))).alias("x")
+    spaces = kept.select("key", "n", listed).select("key", "n", "x.space", "x.ts")
+    # A long set whose quarter is too thin lists all of it there.
+    depth = F.when((F.col("space") == 1) & (F.size("ts") <= F.expr(f"n * {100 - percent} div 100")), F.size("ts")).otherwise(F.expr(f"n * {100 - percent} div 100 + 1"))
+    postings = spaces.select("key", "space", depth.alias("depth"), F.explode("ts").alias("t"))
+    rarity = postings.groupBy("space", "t").agg(F.count(F.lit(1)).alias("df"))
+    by_rarity = Window.partitionBy("key", "space").orderBy("df", "t")
+    rare = postings.join(rarity, ["space", "t"]).withColumn("r", F.row_number().over(by_rarity)).filter("r <= depth and df > 1")
+    rare = materialize(rare.select("key", "space", "t"), "rare")
+    pivots = rare.groupBy("space", "t").agg(F.min("key").alias("block"), F.max("key").alias("last")).filter("block < last").select("space", "t", "block")
+    members = materialize(rare.join(pivots, ["space", "t"]).select("block", "key").distinct(), "members")
     counts = members.groupBy("block").agg(F.count(F.lit(1)).alias("m"))
     parts = members.join(counts, "block").withColumn("parts", F.expr(f"cast((m + {block - 1}) div {block} as int)"))
     parts = parts.withColumn("part", F.expr("pmod(xxhash64(key), parts)"))
     whole = kept.select("key", "s")
 
-    small = parts.filter("parts = 1").select("block", "part", "key", F.lit(True).alias("asks"), F.lit(True).alias("member"))
+    small = parts.filter("parts = 1").select("block", "part", "key", F.col("key").alias("root"), F.lit(True).alias("asks"), F.lit(True).alias("member"))
     large = materialize(parts.filter("parts > 1").select("block", "parts", "part", "key"), "large")
     pivot = large.select("block", "parts").distinct().select(
-        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("block").alias("key"), F.lit(True).alias("asks"), F.lit(False).alias("member")
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("block").alias("key"), F.col("block").alias("root"), F.lit(True).alias("asks"), F.lit(False).alias("member")
     )
-    first = small.union(large.select("block", "part", "key", F.lit(False).alias("asks"), F.lit(True).alias("member"))).union(pivot)
+    first = small.union(large.select("block", "part", "key", F.col("key").alias("root"), F.lit(False).alias("asks"), F.lit(True).alias("member"))).union(pivot)
     links = materialize(_search_blocks(first.join(whole, "key"), percent), "links")
     roots = components(links)
 
@@ -324,11 +354,11 @@ def similarity_components(
         labelled = large.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         by_root = labelled.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n"))
         top = by_root.groupBy("block").agg(F.max_by("root", F.struct("n", "root")).alias("top"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
-        open_blocks = materialize(labelled.join(top, "block").select("block", "parts", "part", "key", (F.col("root") != F.col("top")).alias("rest")), "open")
+        open_blocks = materialize(labelled.join(top, "block").select("block", "parts", "part", "key", "root", (F.col("root") != F.col("top")).alias("rest")), "open")
         asking = open_blocks.filter("rest").select(
-            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "key", F.lit(True).alias("asks"), F.lit(False).alias("member")
+            "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), "key", "root", F.lit(True).alias("asks"), F.lit(False).alias("member")
         )
-        second = open_blocks.select("block", "part", "key", F.lit(False).alias("asks"), F.lit(True).alias("member")).union(asking)
+        second = open_blocks.select("block", "part", "key", "root", F.lit(False).alias("asks"), F.lit(True).alias("member")).union(asking)
         more = _search_blocks(second.join(whole, "key"), percent)
         roots = components(links.union(more))
 
@@ -350,12 +380,14 @@ def similarity_components(
 def one_per_component(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps the document with its smallest id.
 
-    Repeated rows of that id are one document: one row of them stays. Documents without words
-    all stay. All columns of ``docs`` are kept as they are.
+    Of rows that repeat an id and a text one stays. Documents without words all stay. All
+    columns of ``docs`` are kept as they are.
     """
-    found = similarity_components(docs, doc_id=doc_id, text=text, **options)
+    found = materialize(similarity_components(docs, doc_id=doc_id, text=text, **options), "components")
     names = docs.columns
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"))
     left = row.join(gone.hint("shuffle_hash"), F.col(f"_row.`{doc_id}`") == F.col("_gone"), "left_anti")
-    return left.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    kept = left.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    repeated = not found.groupBy("doc_id").count().filter("count > 1").isEmpty()
+    return kept.dropDuplicates([doc_id, text]) if repeated else kept
