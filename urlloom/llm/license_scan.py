@@ -9,6 +9,7 @@ weights, and a prediction counts as confirmed if enough of a template of its fam
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
@@ -95,15 +96,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
-def grams_of(words: Column) -> Column:
-    """Word bigrams and trigrams, each once."""
-    last = F.size(words)
+def word_grams(words: Column, n: int) -> Column:
+    """Runs of n words, each once; ``words`` should be a plain column, as it is read n + 1 times."""
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    grams = F.slice(words, F.lit(1), count)
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(words, F.lit(j + 1), count), lambda a, b: F.concat_ws(" ", a, b))
+    return F.array_distinct(grams)
 
-    def of(n: int) -> Column:
-        starts = F.when(last >= n, F.sequence(F.lit(1), F.greatest(last - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.concat_ws(" ", *[F.element_at(words, i + j) for j in range(n)]))
 
-    return F.array_distinct(F.concat(of(2), of(3)))
+def grams_of(words: Column) -> Column:
+    """Word bigrams and trigrams."""
+    return F.concat(word_grams(words, 2), word_grams(words, 3))
 
 
 def training_rows() -> list[tuple[int, int, str]]:
@@ -130,17 +134,19 @@ class LicenceModel:
     temperature: float
 
 
-def _literals(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    values = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, r, strict=True)]) for r in rows])
-    return spark.range(1).select(F.inline(values))
+def _literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from one JSON literal."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
 
 
 def train(spark: SparkSession, *, regularization: float = 2e-3) -> LicenceModel:
     """Fit on three folds, calibrate the temperature on the fourth."""
-    rows = _literals(spark, training_rows(), ["label", "fold", "text"]).withColumn("grams", grams_of(words_of(F.col("text"))))
+    rows = _literals(spark, training_rows(), "label int, fold int, text string").withColumn("words", words_of(F.col("text"))).withColumn("grams", grams_of(F.col("words")))
     vectorizer = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(rows)
     data = vectorizer.transform(rows).coalesce(1).cache()
-    model = LogisticRegression(family="multinomial", regParam=regularization, maxIter=200).fit(data.filter("fold <> 3"))
+    model = LogisticRegression(family="multinomial", regParam=regularization, maxIter=100, tol=1e-5).fit(data.filter("fold <> 3"))
     scored = model.transform(data.filter("fold = 3")).select("label", F.expr("cast(rawPrediction as string)").alias("raw"))
     logits = F.from_json("raw", "array<double>")
     held = [(r[0], r[1]) for r in scored.select("label", logits.alias("z")).collect()]
@@ -170,9 +176,10 @@ def scan(
     all others are unknown and have no row. Paragraphs without an n-gram of the vocabulary get the
     intercepts' class, which must be unknown. coverage is the largest share of a template's n-grams
     (of that family) that the paragraph has. Null and empty texts have no rows; repeated rows repeat
-    theirs (once for each id and paragraph number if the ids repeat too, as one paragraph).
+    theirs.
 
-    What is broadcast is the vocabulary, whose size the training sentences fix.
+    There is no shuffle. The vocabulary's weights and the templates, whose sizes the training
+    sentences fix, are all that goes to the executors.
     """
     spark = docs.sparkSession
     model = model or train(spark)
@@ -181,20 +188,24 @@ def scan(
         raise ValueError("a paragraph without known n-grams would not be unknown")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
     lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+    # Generating one row keeps words a plain column: nothing is cut twice.
+    worded = lines.select("doc_id", "paragraph", F.explode(F.array(words_of(F.col("line")))).alias("words"))
     vocabulary = set(model.vocabulary)
-    found = lines.select("doc_id", "paragraph", F.filter(grams_of(words_of(F.col("line"))), lambda g: g.isin(vocabulary)).alias("grams")).filter("size(grams) > 0")
-    weights = _literals(spark, [(g, *w) for g, w in zip(model.vocabulary, model.weights, strict=True)], ["gram", *[f"w{i}" for i in range(n)]])
-    each = found.select("doc_id", "paragraph", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
-    sums = each.groupBy("doc_id", "paragraph").agg(*[F.sum(f"w{i}").alias(f"w{i}") for i in range(n)], F.collect_set("gram").alias("grams"))
-    logits = F.array(*[(F.col(f"w{i}") + b) / model.temperature for i, b in enumerate(model.intercepts)])
-    top = sums.select("doc_id", "paragraph", "grams", logits.alias("z")).withColumn("best", F.array_max("z"))
+    known_grams = lambda n: F.filter(word_grams(F.col("words"), n), lambda g: g.isin(vocabulary))
+    # A trigram of the vocabulary consists of bigrams of the vocabulary.
+    two = worded.select("doc_id", "paragraph", "words", F.explode(F.array(known_grams(2))).alias("two")).filter("size(two) > 0")
+    found = two.select("doc_id", "paragraph", F.concat("two", known_grams(3)).alias("grams"))
+    weights = F.from_json(F.lit(json.dumps(dict(zip(model.vocabulary, model.weights, strict=True)))), "map<string,array<double>>")
+    start = F.array(*map(F.lit, model.intercepts))
+    raw = F.aggregate("grams", start, lambda s, g: F.zip_with(s, F.element_at(weights, g), lambda x, w: x + w))
+    sums = found.select("doc_id", "paragraph", "grams", F.explode(F.array(F.transform(raw, lambda x: x / model.temperature))).alias("z"))
+    top = sums.withColumn("best", F.array_max("z"))
     top = top.withColumn("at", F.array_position("z", F.col("best")).cast("int")).withColumn(
         "probability", 1.0 / F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("best")))
     )
     known = top.withColumn("family", F.element_at(F.array(*map(F.lit, names)), F.col("at"))).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    templates = _literals(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], ["t_family", "template"]).select(
-        "t_family", grams_of(words_of(F.col("template"))).alias("t_grams")
-    )
+    sentences = _literals(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], "t_family string, template string")
+    templates = sentences.select("t_family", words_of(F.col("template")).alias("words")).select("t_family", grams_of(F.col("words")).alias("t_grams"))
     by_family = templates.groupBy("t_family").agg(F.collect_list("t_grams").alias("templates"))
     compared = known.join(F.broadcast(by_family), F.col("family") == F.col("t_family"))
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
