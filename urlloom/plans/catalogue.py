@@ -1,4 +1,517 @@
 """Named queries over the driver tables and their SQL counterparts."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from urlloom.functions import features, seeds, urls
+from urlloom.operators import analysis, modelling, observations, pages, prepare, split
+from urlloom.plans import sql
+from urlloom.streaming.feeds import window_counts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql_text: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql_text:
+            ORACLE_SQL[f.__name__] = sql_text
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _values(spark: SparkSession, text: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {text}")
+
+
+def _feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(sql.FEED.format(text="STRING").replace("FROM pages", "FROM {pages}"), pages=_t(spark, sf_dir, "pages"))
+
+
+def _clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.with_clean_urls(_t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("url_raw")))
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _t(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("label"), "toxic")
+    rows = _t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("url_raw")).join(labels, "page_id")
+    return urls.with_clean_urls(rows.withColumn("source", F.concat(F.lit("src"), F.col("page_id") % 3))).withColumn("domain_group", F.col("host"))
+
+
+_PARTS = ["reason", "url_clean", "scheme", "userinfo", "host", "port", "path", "query", "is_ip", "registered_domain"]
+
+
+@query(f"SELECT page_id, scheme, host, path, query FROM {sql.PAGES}")
+def q01_url_parts(spark, sf_dir):
+    return _clean_pages(spark, sf_dir).select("page_id", "scheme", "host", "path", "query")
+
+
+@query(f"SELECT source, row_number, url_raw, {', '.join(_PARTS)} FROM {sql.CLEAN_FEED}")
+def q02_clean_url(spark, sf_dir):
+    return urls.with_clean_urls(_feed(spark, sf_dir).drop("error")).select("source", "row_number", "url_raw", *_PARTS)
+
+
+@query(f"SELECT coalesce(reason, 'valid') AS reason, count(*) AS n FROM {sql.CLEAN_FEED} GROUP BY 1")
+def q03_invalid_reasons(spark, sf_dir):
+    rows = urls.with_clean_urls(_feed(spark, sf_dir))
+    return rows.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT page_id, registered_domain, greatest(len(string_split(host, '.')) - len(string_split(registered_domain, '.')), 0)::INTEGER AS subdomain_count FROM {sql.PAGES}")
+def q04_registered_domain(spark, sf_dir):
+    rows = _clean_pages(spark, sf_dir)
+    return rows.select("page_id", "registered_domain", urls.subdomain_count(F.col("host"), F.col("is_ip"), F.col("registered_domain")).alias("subdomain_count"))
+
+
+def _rounded(names):
+    return [f"round({n}, 6) AS {n}" if n in features.FLOATS else n for n in names]
+
+
+def _features(spark, sf_dir, names):
+    made = features.with_features(_clean_pages(spark, sf_dir), names)
+    return made.select("page_id", *[F.round(n, 6).alias(n) if n in features.FLOATS else n for n in features.resolve(names)])
+
+
+_FEATURED = f"(SELECT *, {sql.FEATURES} FROM {sql.PAGES})"
+
+
+@query(f"SELECT page_id, {', '.join(_rounded(features.BASELINE))} FROM {_FEATURED}")
+def q05_baseline_features(spark, sf_dir):
+    return _features(spark, sf_dir, "baseline")
+
+
+@query(f"SELECT page_id, {', '.join(_rounded(features.FEATURE_SETS['expanded21']))} FROM {_FEATURED}")
+def q06_expanded_features(spark, sf_dir):
+    return _features(spark, sf_dir, "expanded21")
+
+
+_LONG = f"(UNPIVOT (SELECT label, {', '.join(f'{n}::DOUBLE AS {n}' for n in features.BASELINE)} FROM (SELECT *, {sql.FEATURES} FROM {sql.LABELLED})) ON {', '.join(features.BASELINE)} INTO NAME feature VALUE value)"
+
+
+@query(f"""
+WITH s AS (SELECT label, feature, feature IN ('uses_https', 'is_ip_hostname') AS b, count(value) AS n, avg(value) AS m, median(value) AS med, coalesce(stddev_samp(value), 0) AS sd,
+  min(value) AS lo, max(value) AS hi, count(*) FILTER (value = 1) AS ones FROM {_LONG} GROUP BY label, feature)
+SELECT label, feature, CASE WHEN b THEN 'binary' ELSE 'numeric' END AS feature_type, n AS count, CASE WHEN NOT b THEN round(m, 6) END AS mean, CASE WHEN NOT b THEN round(med, 6) END AS median,
+  CASE WHEN NOT b THEN round(sd, 6) END AS standard_deviation, CASE WHEN NOT b THEN round(lo, 6) END AS min, CASE WHEN NOT b THEN round(hi, 6) END AS max,
+  CASE WHEN b THEN ones END AS count_equal_1, CASE WHEN b THEN round(ones / n, 6) END AS proportion_equal_1 FROM s""")
+def q07_feature_summary(spark, sf_dir):
+    return analysis.feature_summary(features.with_features(_labelled(spark, sf_dir)))
+
+
+@query(f"""
+WITH c AS (SELECT count(*) AS n, count(*) FILTER (label = 0) AS n0, count(*) FILTER (label = 1) AS n1 FROM {sql.LABELLED})
+SELECT u.name AS "check", 'pass' AS status, u.v::VARCHAR AS value, u.v::VARCHAR AS expected FROM c,
+  unnest([{{'name': 'row_count', 'v': n}}, {{'name': 'row_alignment', 'v': 0}}, {{'name': 'class_0_count', 'v': n0}}, {{'name': 'class_1_count', 'v': n1}},
+          {{'name': 'feature_types', 'v': 0}}, {{'name': 'missing_values', 'v': 0}}, {{'name': 'infinite_values', 'v': 0}}]) AS t(u)""")
+def q08_quality_checks(spark, sf_dir):
+    rows = _labelled(spark, sf_dir)
+    return analysis.quality_checks(features.with_features(rows), rows)
+
+
+@query(f"SELECT label, feature, round(avg(value), 6) AS mean, round(median(value), 6) AS median FROM {_LONG} GROUP BY ALL")
+def q09_feature_distributions(spark, sf_dir):
+    rows = analysis.long_features(features.with_features(_labelled(spark, sf_dir)), features.BASELINE, ["label"])
+    return rows.groupBy("label", "feature").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"))
+
+
+_CORR = ["url_length", "path_length", "digit_count", "url_entropy"]
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM {_FEATURED}" for i, a in enumerate(_CORR) for b in _CORR[i + 1 :]))
+def q10_correlations(spark, sf_dir):
+    return analysis.correlations(features.with_features(_clean_pages(spark, sf_dir)), _CORR)
+
+
+@query(f"SELECT page_id, {', '.join(_rounded(features.FEATURE_SETS['compact16']))} FROM {_FEATURED}")
+def q11_compact_features(spark, sf_dir):
+    return _features(spark, sf_dir, "compact16")
+
+
+@query(f"SELECT string_split(path, '/')[2] AS segment, sum(suspicious_keyword_count)::BIGINT AS keywords, count(*) AS n FROM {_FEATURED} GROUP BY 1")
+def q12_keywords_by_segment(spark, sf_dir):
+    rows = features.with_features(_clean_pages(spark, sf_dir))
+    return rows.groupBy(F.split("path", "/")[1].alias("segment")).agg(F.sum("suspicious_keyword_count").alias("keywords"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT source, label, count(*) AS rows, min(row_number) AS first_row, max(row_number) AS last_row FROM {sql.FEED_DUCK} GROUP BY ALL")
+def q13_source_union(spark, sf_dir):
+    return _feed(spark, sf_dir).groupBy("source", "label").agg(F.count(F.lit(1)).alias("rows"), F.min("row_number").alias("first_row"), F.max("row_number").alias("last_row"))
+
+
+_DISPOSITION = ["source", "label", "row_number", "url_raw", "url_clean", "registered_domain", "reason"]
+
+
+@query(f"SELECT {', '.join(_DISPOSITION)} FROM {sql.DISPOSITIONS}")
+def q14_dispositions(spark, sf_dir):
+    return prepare.dispositions(_feed(spark, sf_dir)).select(*_DISPOSITION)
+
+
+@query(f"""SELECT url_clean, array_to_string(list_sort(list(DISTINCT label::VARCHAR)), ';') AS labels, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, count(*) AS record_count
+FROM {sql.DISPOSITIONS} WHERE reason = 'conflicting_label' GROUP BY url_clean""")
+def q15_conflicts(spark, sf_dir):
+    return prepare.conflicts(prepare.dispositions(_feed(spark, sf_dir)))
+
+
+_TARGET, _SEED = 40, 12345
+_BALANCED = f"""(
+  SELECT d.*, d.reason IS NULL AS candidate, s.url_clean IS NOT NULL AND d.reason IS NULL AS selected, CASE WHEN d.reason IS NULL AND s.url_clean IS NULL THEN 'not_sampled' ELSE d.reason END AS final_reason
+  FROM {sql.DISPOSITIONS} d LEFT JOIN (
+    SELECT label, url_clean FROM (
+      SELECT label, url_clean, row_number() OVER (PARTITION BY label ORDER BY sha256('{_SEED}|' || url_clean), url_clean) AS r,
+        least({_TARGET}, count(*) FILTER (label = 0) OVER (), count(*) FILTER (label = 1) OVER ()) AS k
+      FROM {sql.DISPOSITIONS} WHERE reason IS NULL) WHERE r <= k) s ON d.label = s.label AND d.url_clean = s.url_clean)"""
+
+
+def _balanced(spark, sf_dir):
+    return prepare.balance(prepare.dispositions(_feed(spark, sf_dir)), _TARGET, _SEED, "hash")
+
+
+@query(f"""SELECT coalesce(source, 'total') AS source, count(*) AS raw_records, count(*) FILTER (selected) AS accepted_records, count(*) FILTER (final_reason IS NOT NULL) AS invalid_or_rejected_records,
+  count(*) FILTER (starts_with(final_reason, 'invalid:')) AS invalid_records, count(*) FILTER (final_reason = 'exact_duplicate') AS exact_duplicates,
+  count(*) FILTER (final_reason = 'normalized_duplicate') AS normalized_duplicates, count(*) FILTER (final_reason = 'conflicting_label') AS conflicting_label_records,
+  count(*) FILTER (selected AND label = 1) AS final_phishing, count(*) FILTER (selected AND label = 0) AS final_legitimate,
+  count(DISTINCT registered_domain) FILTER (selected) AS unique_registered_domains FROM {_BALANCED} GROUP BY ROLLUP (source)""")
+def q16_cleaning_summary(spark, sf_dir):
+    return prepare.cleaning_summary(_balanced(spark, sf_dir))
+
+
+@query(f"""
+WITH p AS (SELECT *, host AS g FROM {sql.LABELLED}), s AS (SELECT label, g, count(*) AS n FROM p GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, g) AS r, sum(n) OVER (PARTITION BY label) AS total FROM s),
+c AS (SELECT label, count(*) AS domains, max(n / total) AS largest, sum(n / total) FILTER (r <= 10) AS top10, sum(pow(n / total, 2)) AS hhi FROM r GROUP BY label)
+SELECT p.label, count(*) AS rows, any_value(domains) AS domains, round(any_value(largest), 6) AS largest_share, round(any_value(top10), 6) AS top_10_share, round(any_value(hhi), 6) AS hhi,
+  round(avg((scheme = 'https')::INT), 6) AS https_rate, round(avg((path = '/')::INT), 6) AS root_rate, round(avg((query <> '')::INT), 6) AS query_rate,
+  list_transform(quantile_cont(len(url_clean)::DOUBLE, {list(analysis.QUANTILES)}), lambda x: round(x, 6)) AS length_quantiles
+FROM p JOIN c ON p.label = c.label GROUP BY p.label""")
+def q17_profile(spark, sf_dir):
+    return analysis.profile(_labelled(spark, sf_dir))
+
+
+@query(f"""SELECT host AS domain_group, count(*) AS size, sum(label)::BIGINT AS positives, array_to_string(list_sort(list(DISTINCT source)), ';') AS sources, min(label) <> max(label) AS mixed FROM {sql.LABELLED} GROUP BY host""")
+def q18_group_report(spark, sf_dir):
+    return analysis.group_report(_labelled(spark, sf_dir))
+
+
+@query(f"""SELECT 'exact' AS kind, (SELECT sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM {sql.FEED_DUCK} GROUP BY url_raw, label)) AS duplicates
+UNION ALL SELECT 'normalized', (SELECT sum(n - 1)::BIGINT FROM (SELECT count(*) AS n FROM {sql.CLEAN_FEED} WHERE url_clean IS NOT NULL GROUP BY url_clean, label))""")
+def q19_duplicates(spark, sf_dir):
+    feed = _feed(spark, sf_dir)
+    exact = analysis.beyond_first(feed, ["url_raw", "label"]).select(F.lit("exact").alias("kind"), "duplicates")
+    clean = analysis.beyond_first(urls.with_clean_urls(feed).filter("url_clean IS NOT NULL"), ["url_clean", "label"])
+    return exact.unionByName(clean.select(F.lit("normalized").alias("kind"), "duplicates"))
+
+
+@query(f"SELECT label, url_clean, source, url_raw FROM {_BALANCED} WHERE selected")
+def q20_balanced_sample_hash(spark, sf_dir):
+    return _balanced(spark, sf_dir).filter("selected").select("label", "url_clean", "source", "url_raw")
+
+
+@query()
+def q21_balanced_sample_parity(spark, sf_dir):
+    made = prepare.balance(prepare.dispositions(_feed(spark, sf_dir)), _TARGET, _SEED, "parity")
+    return made.filter("selected").select("label", "url_clean", "source", "url_raw")
+
+
+_ORDERS = "(SELECT o_orderkey, o_custkey::VARCHAR AS grp, (o_totalprice > 150000)::INTEGER AS label FROM orders)"
+
+
+def _order_groups(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("grp"), (F.col("o_totalprice") > 150000).cast("int").alias("label"))
+
+
+def _search(rows: str, fraction: float, seed: int) -> str:
+    return f"""(
+  WITH s AS (SELECT grp, count(*) AS size, sum(label) AS positives FROM {rows} GROUP BY grp), total AS (SELECT sum(size) AS n, sum(positives) / sum(size) AS rate FROM s),
+  c AS (SELECT trial, grp, size, positives, sum(size) OVER (PARTITION BY trial ORDER BY md5('{seed}:' || trial || ':' || grp), grp ROWS UNBOUNDED PRECEDING) AS reached FROM s, range(20) t(trial)),
+  k AS (SELECT c.*, n, rate FROM c, total WHERE reached - size < n * {fraction}::DOUBLE),
+  b AS (SELECT trial, abs(sum(size) / any_value(n) - {fraction}::DOUBLE) + abs(sum(positives) / sum(size) - any_value(rate)) AS miss FROM k GROUP BY trial)
+  SELECT grp FROM k WHERE trial = (SELECT trial FROM b ORDER BY round(miss, 12), trial LIMIT 1))"""
+
+
+_ASSIGNED = f"""(
+  SELECT o.*, CASE WHEN o.grp IN (SELECT grp FROM test) THEN 'test' WHEN o.grp IN (SELECT grp FROM validation) THEN 'validation' ELSE 'train' END AS split FROM {_ORDERS} o)"""
+_SPLITS = f"WITH test AS {_search(_ORDERS, split.TEST, 1)}, validation AS {_search(f'(SELECT * FROM {_ORDERS} WHERE grp NOT IN (SELECT grp FROM test))', split.VALIDATION, 2)}"
+
+
+def _split_orders(spark, sf_dir):
+    return split.make_split(_order_groups(spark, sf_dir), 1, 2, group="grp", mode="hash")
+
+
+@query(f"SELECT grp FROM {_search(_ORDERS, split.TEST, 1)}")
+def q22_group_search(spark, sf_dir):
+    return split.choose_groups_by_hash(_order_groups(spark, sf_dir), split.TEST, 1, group="grp")
+
+
+@query(f"""{_SPLITS} SELECT split, count(*) AS samples, sum(label)::BIGINT AS phishing, count(DISTINCT grp) AS domains, count(*) - sum(label)::BIGINT AS legitimate,
+  round(count(*) / (SELECT count(*) FROM orders), 6) AS fraction FROM {_ASSIGNED} GROUP BY split""")
+def q23_split_summary(spark, sf_dir):
+    return split.split_summary(_split_orders(spark, sf_dir), "grp")
+
+
+@query(f"{_SPLITS} SELECT 'grp' AS kind, count(*) FILTER (n > 1) AS leaks FROM (SELECT grp, count(DISTINCT split) AS n FROM {_ASSIGNED} GROUP BY grp) UNION ALL SELECT 'o_orderkey', count(*) FILTER (n > 1) FROM (SELECT o_orderkey, count(DISTINCT split) AS n FROM {_ASSIGNED} GROUP BY o_orderkey)")
+def q24_leakage(spark, sf_dir):
+    return split.leakage(_split_orders(spark, sf_dir), ["grp", "o_orderkey"])
+
+
+_SCORED = """(SELECT d.doc_id, l.quality AS label, m.model, (CASE m.model WHEN 'length' THEN least(d.n_chars, 4000) // 400 ELSE (d.doc_id * 7919 + 13) % 11 END) / 10.0::DOUBLE AS score,
+  (d.doc_id % 4)::INTEGER AS seed, d.lang = 'en' AS is_en, d.n_chars > 1000 AS is_long
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id, (VALUES ('length'), ('hash')) m(model))"""
+
+
+def _scored(spark, sf_dir):
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), _t(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    rows = docs.join(labels, "doc_id").withColumn("model", F.explode(F.array(F.lit("length"), F.lit("hash"))))
+    score = F.when(F.col("model") == "length", F.expr("least(n_chars, 4000) div 400")).otherwise((F.col("doc_id") * 7919 + 13) % 11) / 10.0
+    return rows.select("doc_id", "label", "model", score.alias("score"), (F.col("doc_id") % 4).cast("int").alias("seed"), (F.col("lang") == "en").alias("is_en"), (F.col("n_chars") > 1000).alias("is_long"))
+
+
+def _confusion_sql(keys: str) -> str:
+    r = lambda a, b: f"round(({a}) / nullif({b}, 0), 6)"
+    return f"""(SELECT {keys}, tn, fp, fn, tp, {r('tp + tn', 'tn + fp + fn + tp')} AS accuracy, {r('tp', 'tp + fp')} AS precision, {r('tp', 'tp + fn')} AS recall, {r('2 * tp', '2 * tp + fp + fn')} AS f1, {r('fp', 'fp + tn')} AS fpr
+  FROM (SELECT {keys}, count(*) FILTER (score < 0.5 AND label = 0) AS tn, count(*) FILTER (score >= 0.5 AND label = 0) AS fp, count(*) FILTER (score < 0.5 AND label = 1) AS fn,
+    count(*) FILTER (score >= 0.5 AND label = 1) AS tp FROM {_SCORED} GROUP BY {keys}))"""
+
+
+@query(f"SELECT * FROM {_confusion_sql('model')}")
+def q25_confusion(spark, sf_dir):
+    return split.confusion(_scored(spark, sf_dir), ["model"])
+
+
+_RANKED = f"""(SELECT model, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM (SELECT model, score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM {_SCORED} GROUP BY ALL)
+  WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+@query(f"SELECT model, round(sum(n * (tp - p / 2)) / (sum(p) * sum(n)), 6) AS roc_auc FROM {_RANKED} GROUP BY model")
+def q26_roc_auc(spark, sf_dir):
+    return split.ranking_metrics(_scored(spark, sf_dir), ["model"]).select("model", "roc_auc")
+
+
+@query(f"SELECT model, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS average_precision FROM {_RANKED} GROUP BY model")
+def q27_average_precision(spark, sf_dir):
+    return split.ranking_metrics(_scored(spark, sf_dir), ["model"]).select("model", "average_precision")
+
+
+_BY_SEED = _confusion_sql("model, seed")
+
+
+@query(f"SELECT model, round(avg(f1), 6) AS f1_mean, round(stddev_samp(f1), 6) AS f1_std, round(min(f1), 6) AS f1_min, round(max(f1), 6) AS f1_max FROM {_BY_SEED} GROUP BY model")
+def q28_seed_summary(spark, sf_dir):
+    return split.seed_summary(split.confusion(_scored(spark, sf_dir), ["model", "seed"]), ["model"], ["f1"])
+
+
+@query(f"SELECT 'all' AS feature_set, a.seed, a.model, round(a.f1 - b.f1, 6) AS difference FROM {_BY_SEED} a JOIN {_BY_SEED} b ON a.seed = b.seed AND b.model = 'length' AND a.model <> 'length'")
+def q29_paired_difference(spark, sf_dir):
+    made = split.confusion(_scored(spark, sf_dir), ["model", "seed"]).withColumn("feature_set", F.lit("all"))
+    return modelling.paired_difference(made, "length")
+
+
+@query(f"""SELECT model, label, doc_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY model, label ORDER BY abs(score - label) DESC, doc_id)::INTEGER AS position
+FROM {_SCORED} WHERE (score >= 0.5) <> (label = 1)) WHERE position <= 5""")
+def q30_top_errors(spark, sf_dir):
+    return split.top_errors(_scored(spark, sf_dir), ["model", "label"], ident="doc_id").select("model", "label", "doc_id", "score", "position")
+
+
+@query(" UNION ALL ".join(f"""SELECT model, label, '{f}' AS flag, {f}::INTEGER AS flag_value, count(*) AS rows, sum(((score >= 0.5) <> (label = 1))::INT)::BIGINT AS errors,
+  round(avg(((score >= 0.5) <> (label = 1))::INT), 6) AS error_rate FROM {_SCORED} GROUP BY ALL""" for f in ("is_en", "is_long")))
+def q31_error_strata(spark, sf_dir):
+    return split.error_strata(_scored(spark, sf_dir), ["is_en", "is_long"], ["model", "label"])
+
+
+_FAILED = "('robots', 'ProxyError: DNS failure for x'), ('robots', 'HTTPError 404'), ('page', 'ConnectTimeout'), ('page', 'ValueError: non-public destination'), ('page', 'odd'), (NULL, 'SSLError'), (NULL, NULL)"
+
+
+@query(f"""SELECT stage, CASE WHEN reason LIKE 'ProxyError%' OR reason LIKE 'ValueError%' THEN CASE WHEN contains(reason, 'DNS failure') THEN 'dns_failure' WHEN contains(reason, 'non-public destination') THEN 'non_public_destination'
+  ELSE regexp_extract(reason, '^[A-Za-z]+') END WHEN regexp_matches(reason, '^(HTTPError|ConnectTimeout|ReadTimeout|ConnectionError|SSLError)') THEN regexp_extract(reason, '^[A-Za-z]+') ELSE 'other' END AS reason_category, count(*) AS count
+FROM (VALUES {_FAILED}) f(stage, reason) GROUP BY ALL""")
+def q32_failure_categories(spark, sf_dir):
+    return analysis.failure_summary(_values(spark, f"{_FAILED} AS f(stage, reason)"))
+
+
+@query(f"""SELECT count(*) AS urls, count(DISTINCT host) AS domains, round(avg((path NOT IN ('', '/'))::INT), 6) AS inner_rate,
+  CASE WHEN count(*) >= 2000 AND count(DISTINCT host) >= 300 AND avg((path NOT IN ('', '/'))::INT) >= 0.2 THEN 'suitable' ELSE 'unsuitable' END AS decision FROM {sql.LABELLED}""")
+def q33_suitability(spark, sf_dir):
+    return analysis.suitability(_labelled(spark, sf_dir))
+
+
+@query("""SELECT s_nationkey AS grp, s_suppkey AS best FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier
+  WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 1)) WHERE r = 1""")
+def q34_best_candidate(spark, sf_dir):
+    taken = _t(spark, sf_dir, "customer").filter("c_custkey % 50 = 1").select(F.col("c_nationkey").alias("s_nationkey"))
+    left = _t(spark, sf_dir, "supplier").join(taken, "s_nationkey", "left_anti")
+    return left.groupBy(F.col("s_nationkey").alias("grp")).agg(F.min_by("s_suppkey", F.struct(-F.col("s_acctbal"), "s_suppkey")).alias("best"))
+
+
+@query(f"""WITH u AS (SELECT url_clean, registered_domain, source, row_number, CASE source WHEN 'phishtank' THEN 0 ELSE 1 END AS batch_no FROM {sql.DISPOSITIONS} WHERE url_clean IS NOT NULL AND source <> 'openphish'),
+f AS (SELECT *, row_number() OVER (PARTITION BY url_clean ORDER BY batch_no, registered_domain, source, row_number) = 1 AS first FROM u)
+SELECT url_clean, registered_domain, source, row_number, CASE batch_no WHEN 0 THEN 'old' ELSE 'new' END AS batch,
+  first AND row_number() OVER (PARTITION BY registered_domain, first ORDER BY batch_no, url_clean) <= 3 AS retained FROM f""")
+def q35_merge_provenance(spark, sf_dir):
+    rows = prepare.dispositions(_feed(spark, sf_dir)).filter("url_clean IS NOT NULL").select("url_clean", "registered_domain", "source", "row_number")
+    made = prepare.first_wins([rows.filter("source = 'phishtank'"), rows.filter("source = 'tranco'")], ["old", "new"], cap_by="registered_domain")
+    return made.select("url_clean", "registered_domain", "source", "row_number", "batch", "retained")
+
+
+_KEYS = "('https://a.example.com/?token=1'), ('https://a.example.com/?x=1&my%54oken=2'), ('https://a.example.com/?session_ref=1'), ('https://a.example.com/?q=auth'), ('https://a.example.com/?code'), ('https://u@a.example.com/?x=1'), ('https://b.example.org/'), ('http://a.example.com/p?x=%zz')"
+
+
+@query(f"""WITH c AS {sql.clean(f"(SELECT * FROM (VALUES {_KEYS}) v(url_raw))")}, k AS (SELECT *, list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''),
+  lambda x: lower(CASE WHEN regexp_matches(x, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f])') THEN split_part(x, '=', 1) ELSE url_decode(split_part(x, '=', 1)) END)) AS keys FROM c)
+SELECT url_raw, CASE WHEN regexp_matches(userinfo, '[^:]') THEN 'credentials_in_url' WHEN registered_domain <> 'example.com' THEN 'cross_domain'
+  WHEN len(list_filter(keys, lambda x: list_contains({urls.TOKEN_KEYS}, x) OR regexp_matches(x, 'token|session|auth'))) > 0 THEN 'sensitive_query_key' END AS decision FROM k""")
+def q36_page_policy(spark, sf_dir):
+    rows = urls.with_clean_urls(_values(spark, f"{_KEYS} AS v(url_raw)")).withColumn("domain_group", F.lit("example.com"))
+    return urls.page_policy(rows).select("url_raw", "decision")
+
+
+@query(f"""SELECT stratum, url_clean, position FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY sha256('7|' || url_clean), url_clean)::INTEGER AS position
+FROM (SELECT url_clean, CASE WHEN query <> '' THEN 'query' WHEN path IN ('', '/') THEN 'homepage' ELSE 'inner' END AS stratum FROM {sql.PAGES})) WHERE position <= 5""")
+def q37_review_queue(spark, sf_dir):
+    return analysis.review_queue(_clean_pages(spark, sf_dir), 7).select("stratum", "url_clean", "position")
+
+
+@query("SELECT page_id, len(h)::BIGINT AS links, h[1] AS first_link, h[-1] AS last_link FROM (SELECT page_id, regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1) AS h FROM pages) WHERE len(h) > 0")
+def q38_links(spark, sf_dir):
+    found = pages.links(_t(spark, sf_dir, "pages"), "page_id")
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.min_by("href", "position").alias("first_link"), F.max_by("href", "position").alias("last_link"))
+
+
+@query(f"SELECT page_id, sha256(url_clean) AS sample_id, sha256('tranco' || chr(10) || url_clean) AS candidate_id FROM {sql.PAGES}")
+def q39_identities(spark, sf_dir):
+    return _clean_pages(spark, sf_dir).select("page_id", F.sha2("url_clean", 256).alias("sample_id"), observations.candidate_id(F.lit("tranco"), F.col("url_clean")).alias("candidate_id"))
+
+
+_PURPOSES = "('sampling'), ('test'), ('model'), ('development:0')"
+
+
+@query(f"SELECT purpose, ('0x' || substr(sha256('url-seeds-v1:42:' || purpose), 1, 8))::BIGINT AS seed FROM (VALUES {_PURPOSES}) v(purpose)")
+def q40_derived_seeds(spark, sf_dir):
+    return _values(spark, f"{_PURPOSES} AS v(purpose)").select("purpose", seeds.derive_seed_column(F.lit(42), F.col("purpose")).alias("seed"))
+
+
+_REVIEWS = "('a', 'r1', 'human', 'benign'), ('a', 'r2', 'human', 'benign'), ('b', 'r3', 'human', 'benign'), ('b', 'r4', 'human', 'phishing'), ('c', 'r5', 'automated', 'phishing'), ('d', 'r6', 'human', 'phishing'), ('e', 'r7', 'human', 'uncertain')"
+_SEEN = "('a'), ('b'), ('c'), ('d'), ('e'), ('f')"
+
+
+@query(f"""WITH h AS (SELECT o, list(DISTINCT decision) AS d, list_sort(list(id)) AS ids FROM (VALUES {_REVIEWS}) r(o, id, kind, decision) WHERE kind = 'human' GROUP BY o),
+j AS (SELECT s.o AS observation_id, CASE WHEN d IS NULL THEN 'pending' WHEN len(d) > 1 THEN 'conflicting' ELSE d[1] END AS status, coalesce(ids, []) AS review_ids FROM (VALUES {_SEEN}) s(o) LEFT JOIN h ON s.o = h.o)
+SELECT observation_id, status, CASE status WHEN 'benign' THEN 0 WHEN 'phishing' THEN 1 END AS project_label, status IN ('benign', 'phishing') AS training_eligible, review_ids FROM j""")
+def q41_derived_labels(spark, sf_dir):
+    reviews = _values(spark, f"{_REVIEWS} AS r(observation_id, review_id, reviewer_type, decision)")
+    return observations.derive_labels(_values(spark, f"{_SEEN} AS s(observation_id)"), reviews)
+
+
+@query("""SELECT CASE WHEN g.id IS NULL THEN p.id ELSE g.id END AS candidate_id, CASE WHEN g.id IS NULL THEN 'missing' WHEN p.id IS NULL THEN 'unplanned' ELSE 'differs' END AS problem
+FROM (SELECT page_id AS id, url FROM pages WHERE page_id % 7 <> 0) g FULL JOIN (SELECT page_id AS id, CASE WHEN page_id % 11 = 0 THEN url || '!' ELSE url END AS url FROM pages WHERE page_id % 5 <> 0) p ON g.id = p.id
+WHERE g.id IS NULL OR p.id IS NULL OR g.url <> p.url""")
+def q42_plan_mismatches(spark, sf_dir):
+    rows = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("candidate_id"), F.col("url").alias("url_clean"), F.lit(0).alias("candidate_class"), F.lit("s").alias("source"))
+    changed = rows.withColumn("url_clean", F.when(F.col("candidate_id") % 11 == 0, F.concat("url_clean", F.lit("!"))).otherwise(F.col("url_clean")))
+    return observations.plan_mismatches(rows.filter("candidate_id % 7 <> 0"), changed.filter("candidate_id % 5 <> 0"))
+
+
+@query(f"SELECT model, seed, seed <> 2 AS matches FROM {_BY_SEED}")
+def q43_metric_replay(spark, sf_dir):
+    made = split.confusion(_scored(spark, sf_dir), ["model", "seed"])
+    stored = made.withColumn("accuracy", F.col("accuracy") + F.when(F.col("seed") == 2, 0.1).otherwise(1e-9))
+    return split.replay(made, stored, ["model", "seed"], ["accuracy", "f1"])
+
+
+_GAPS = "(SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN value END AS value, event_id % 4 = 0 AS held FROM events)"
+
+
+@query(f"SELECT event_id, round(coalesce(value, (SELECT median(value) FROM {_GAPS} WHERE NOT held)), 6) AS value, (value IS NULL)::INT::DOUBLE AS value_missing FROM {_GAPS}")
+def q44_median_imputation(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+    made = modelling.Imputer(rows.filter("event_id % 4 <> 0"), ["value"]).transform(rows)
+    return made.withColumn("value", F.round("value", 6))
+
+
+@query(f"SELECT page_id, round((url_length - avg(url_length) OVER ()) / stddev_pop(url_length) OVER (), 6) AS url_length, round((dot_count - avg(dot_count) OVER ()) / stddev_pop(dot_count) OVER (), 6) AS dot_count FROM {_FEATURED}")
+def q45_standardisation(spark, sf_dir):
+    rows = features.with_features(_clean_pages(spark, sf_dir)).select("page_id", "url_length", "dot_count")
+    made = modelling.Scaler(rows, ["url_length", "dot_count"]).transform(rows)
+    return made.select("page_id", *[F.round(c, 6).alias(c) for c in ("url_length", "dot_count")])
+
+
+_SMALL_GRID = {
+    "logistic_regression": {"C": [1.0]},
+    "decision_tree": {"max_depth": [3], "min_samples_leaf": [2]},
+    "random_forest": {"max_depth": [5], "n_estimators": [10]},
+    "gradient_boosting": {"learning_rate": [0.1], "n_estimators": [5], "max_depth": [3]},
+}
+
+
+@query()
+def q46_classifiers(spark, sf_dir):
+    rows = features.with_features(_labelled(spark, sf_dir), "expanded21").select("page_id", "label", *features.resolve("structure_only"))
+    parts = None
+    for family in _SMALL_GRID:
+        p = modelling.parameters(family, _SMALL_GRID)[0]
+        scored = modelling.Fitted(rows, features.resolve("structure_only"), family, p, 1).score(rows).withColumn("model", F.lit(family))
+        parts = scored if parts is None else parts.unionByName(scored)
+    return parts.select("page_id", "model", "label", F.round("score", 4).alias("score"))
+
+
+@query()
+def q47_permutation_importance(spark, sf_dir):
+    names = features.resolve("structure_only")
+    rows = features.with_features(_labelled(spark, sf_dir)).select("page_id", "label", *names)
+    fitted = modelling.Fitted(rows, names, "logistic_regression", {"C": 1.0}, 1)
+    return modelling.permutation_importance(fitted, rows, "page_id", repeats=3)
+
+
+_HOPS = """('ok', array(named_struct('http_status', 302, 'same_origin', true, 'location', '/r', 'content_type', '', 'body_start', '', 'truncated', false, 'rules_allow', CAST(NULL AS BOOLEAN)),
+  named_struct('http_status', 200, 'same_origin', true, 'location', CAST(NULL AS STRING), 'content_type', 'text/plain', 'body_start', 'User-agent', 'truncated', false, 'rules_allow', true)))"""
+_ONE_HOP = [("cross", 302, "false", "'/x'", "''", "''", "NULL"), ("denied", 403, "true", "NULL", "''", "''", "NULL"), ("none", 404, "true", "NULL", "''", "''", "NULL"), ("disallow", 200, "true", "NULL", "'text/plain'", "'x'", "false"), ("html", 200, "true", "NULL", "'text/plain'", "' <!DOCTYPE html>'", "true"), ("lost", 301, "true", "NULL", "''", "''", "NULL")]
+for _n, _s, _o, _l, _c, _b, _a in _ONE_HOP:
+    _HOPS += f", ('{_n}', array(named_struct('http_status', {_s}, 'same_origin', {_o}, 'location', CAST({_l} AS STRING), 'content_type', {_c}, 'body_start', {_b}, 'truncated', false, 'rules_allow', CAST({_a} AS BOOLEAN))))"
+
+
+@query("""SELECT * FROM (VALUES ('ok', 'robots_allowed', true), ('cross', 'robots_cross_origin_redirect', false), ('denied', 'robots_http_403', false), ('none', 'robots_404', true),
+  ('disallow', 'robots_disallow', false), ('html', 'robots_html_instead_of_rules', false), ('lost', 'robots_redirect_without_location', false)) v(name, robots_reason, robots_allowed)""")
+def q48_robots_decision(spark, sf_dir):
+    return observations.robots_decision(_values(spark, f"{_HOPS} AS v(name, hops)")).drop("hops")
+
+
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, event_type, count(*) AS events FROM events GROUP BY ALL")
+def q49_window_counts(spark, sf_dir):
+    return window_counts(_t(spark, sf_dir, "events"), "ts", "event_type")
+
+
+@query(f"""SELECT position, "check", violations FROM (VALUES (0, 'label_domain', 0::BIGINT), (1, 'missing', 0), (2, 'not_normalized', 0), (3, 'conflict', 0), (4, 'duplicate', 0), (5, 'domain', 0), (6, 'blank_source', 0), (7, 'raw_clean', 0), (8, 'empty_group', 0)) v(position, "check", violations)""")
+def q50_load_checks(spark, sf_dir):
+    rows = prepare.dispositions(_feed(spark, sf_dir)).filter("reason IS NULL")
+    return analysis.load_checks(rows.select("url_raw", "url_clean", "label", "source", "registered_domain"))
+
+
+@query(f"""SELECT source, label, count(*) AS raw_records, count(*) FILTER (candidate) AS accepted_before_sampling, count(*) FILTER (selected) AS selected_records,
+  count(DISTINCT registered_domain) FILTER (selected) AS unique_registered_domains FROM {_BALANCED} GROUP BY ALL""")
+def q51_source_summary(spark, sf_dir):
+    return prepare.source_summary(_balanced(spark, sf_dir))
+
+
+@query(f"SELECT label, count(*) AS rows, count(DISTINCT host) AS domains, count(*) >= 2000 AND count(DISTINCT host) >= 300 AS passed FROM {sql.LABELLED} GROUP BY label")
+def q52_class_gate(spark, sf_dir):
+    return analysis.class_gate(_labelled(spark, sf_dir))
+
+
+@query(f"""SELECT 'overview' AS section, 'rows' AS key, count(*)::VARCHAR AS value FROM {sql.LABELLED} UNION ALL SELECT 'overview', 'groups', count(DISTINCT host)::VARCHAR FROM {sql.LABELLED}
+UNION ALL SELECT 'overview', 'positives', count(*) FILTER (label = 1)::VARCHAR FROM {sql.LABELLED} UNION ALL SELECT 'overview', 'invalid', count(*) FILTER (url_clean IS NULL)::VARCHAR FROM {sql.LABELLED}
+UNION ALL SELECT 'source', source, count(*)::VARCHAR FROM {sql.LABELLED} GROUP BY source""")
+def q53_dataset_audit(spark, sf_dir):
+    return analysis.dataset_audit(_labelled(spark, sf_dir))
+
+
+@query(f"SELECT page_id, 'hxxp' || scheme[5:] || '://' || replace(registered_domain, '.', '[.]') AS defanged, scheme = 'https' AS https, path IN ('', '/') AS root, query <> '' AS has_query FROM {sql.PAGES}")
+def q54_flags(spark, sf_dir):
+    rows = _clean_pages(spark, sf_dir)
+    return rows.select("page_id", urls.defanged(F.col("scheme"), F.col("registered_domain")).alias("defanged"), (F.col("scheme") == "https").alias("https"), F.col("path").isin("", "/").alias("root"), (F.col("query") != "").alias("has_query"))
