@@ -155,7 +155,8 @@ def contaminated_pairs(
     A pair counts if, along one diagonal, a stretch has at least ``min_matched`` equal words
     (or identity * the item's words, if that is less), at a rate of at least ``identity``. Positions
     count words from 0. Null and empty texts on either side give no pair. Items with equal
-    words are compared once and all reported; so are repeated rows of documents, as one pair.
+    words are compared once and all reported; repeated ids make one pair, with the best overlap of
+    their texts; rows with a null id count as one document.
 
     The one thing broadcast is a Bloom filter of fixed size. Documents with a hit go on as
     word hashes; a passage that a third of them contain meets its few seeds in a join that
