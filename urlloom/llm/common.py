@@ -53,6 +53,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in pieces of a few rows, so that only a piece's Python objects exist at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def column_bytes(batch, name: str) -> list[bytes]:
     """Values of a string column of an Arrow batch as UTF-8; null gives empty."""
     import pyarrow as pa

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlloom.llm.common import column_bytes, materialize, mix, word_hashes
+from urlloom.llm.common import column_bytes, materialize, mix, slices, word_hashes
 
 DEPTH = 5
 #: Slots of the table that holds the tree when scoring; 10 bytes each.
@@ -27,8 +27,8 @@ SLOT_BITS = 22
 #: A word is frequent from a share of 2 ** -FREQUENT_BITS on: there are at most 2 ** FREQUENT_BITS.
 FREQUENT_BITS = 21
 _END = 0xFF  # occurs in no UTF-8 text: the end, and what precedes the start
-_CHUNK = 1 << 21
-_MEMO_BITS = 21
+_CHUNK = 1 << 19
+_MEMO_BITS = 20
 END_WORD = np.array([xxhash.xxh3_64_intdigest(b"")], np.uint64).view(np.int64)[0]
 
 
@@ -72,7 +72,7 @@ def count_table(train: DataFrame, *, text: str = "text", depth: int = DEPTH) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[list] = [[], []]
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.lower() for t in column_bytes(batch, "text")]
             for a, b in _chunks(texts):
                 words = [w for t in texts[a:b] for w in (*t.split(), b"")]
@@ -246,7 +246,7 @@ def score(docs: DataFrame, train: DataFrame, *, doc_id: str = "doc_id", text: st
                 memo[place(new[last])] = values[last]
             return out
 
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id")
             texts = [t.lower() for t in column_bytes(batch, "text")]
             for a, b in _chunks(texts):
