@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from urlloom.llm.common import column_bytes, materialize, mix, slices, word_hashes
 
 DEPTH = 5
-#: Slots of the table that holds the tree when scoring; 10 bytes each.
+#: At most 2 ** SLOT_BITS types, those seen most often, are looked up in a broadcast table; 16 bytes each.
 SLOT_BITS = 22
 #: A word is frequent from a share of 2 ** -FREQUENT_BITS on: there are at most 2 ** FREQUENT_BITS.
 FREQUENT_BITS = 21
@@ -115,8 +115,8 @@ def _weigh(nodes: DataFrame, leaf: bool) -> DataFrame:
     return nodes.mapInArrow(run, "context long, path int, n0 long, n1 long, log_w double, stop double")
 
 
-def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(level, context, path, n0, n1, log_w, stop): all nodes, weighted from the leaves to the root."""
+def _levels(counts: DataFrame, depth: int) -> list[DataFrame]:
+    """(context, path, n0, n1, log_w, stop) of every level from 0 on, weighted from the leaves to the root."""
     bits = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i")
     types_ = counts.filter("kind = 1").select(F.shiftrightunsigned("key", 8).alias("context"), F.expr("cast(key & 255 as int)").alias("byte"), "n", bits)
     steps = types_.select(
@@ -129,22 +129,141 @@ def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     levels = []
     for level in range(depth, -1, -1):
         done = materialize(_weigh(nodes, level == depth), f"tree{level}")
-        levels.append(done.withColumn("level", F.lit(level)))
+        levels.append(done)
         parent = F.expr(f"context & {(1 << 8 * (level - 1)) - 1 if level else 0}L").alias("context")
         nodes = done.groupBy(parent, "path").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("log_w").alias("below"))
-    out = levels[0]
-    for x in levels[1:]:
+    return levels[::-1]
+
+
+def tree(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(level, context, path, n0, n1, log_w, stop): all nodes, weighted from the leaves to the root."""
+    out = None
+    for level, x in enumerate(_levels(counts, depth)):
+        x = x.withColumn("level", F.lit(level))
+        out = x if out is None else out.union(x)
+    return out
+
+
+def predictions(levels: list[DataFrame]) -> list[DataFrame]:
+    """(context, path, p) of every level: the probability of a one where no deeper node is known.
+
+    From the root down, ``above`` is what the shallower nodes add and ``left`` the weight that they pass on.
+    """
+    out, one = [], (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1.0)
+    for level, x in enumerate(levels):
+        nodes = x.select("context", "path", one.alias("one"), "stop")
+        if level:
+            up = out[-1].select(F.col("context").alias("parent"), F.col("path").alias("up_path"), "above", "left")
+            nodes = nodes.join(up, F.expr(f"(context & {(1 << 8 * (level - 1)) - 1}L) = parent AND path = up_path"))
+        else:
+            nodes = nodes.withColumns({"above": F.lit(0.0), "left": F.lit(1.0)})
+        own = F.col("left") * F.col("one")
+        nodes = nodes.select(
+            "context", "path", (F.col("above") + own).alias("p"), (F.col("above") + own * F.col("stop")).alias("above"), (F.col("left") * (1.0 - F.col("stop"))).alias("left")
+        )
+        out.append(materialize(nodes, f"predictions{level}"))
+    return [x.select("context", "path", "p") for x in out]
+
+
+def _walk(keys: np.ndarray, p: np.ndarray, context: np.ndarray, key: np.ndarray, done: np.ndarray, log_p: np.ndarray) -> None:
+    """Take each type's next decisions as far as the nodes (sorted by context and path) are known."""
+    byte = key & np.uint64(255)
+    for i in range(8 if len(keys) else 0):
+        node = (context << np.uint64(8)) | np.uint64(1 << i) | (byte >> np.uint64(8 - i))
+        at = np.minimum(np.searchsorted(keys, node), len(keys) - 1)
+        go = np.flatnonzero((done == i) & (keys[at] == node))
+        one = p[at[go]]
+        log_p[go] += np.log10(np.where((byte[go] >> np.uint64(7 - i)) & np.uint64(1), one, 1.0 - one))
+        done[go] += 1
+
+
+_ASKED = "key long, done int, log_p double"
+
+
+def _rows(key: np.ndarray, done: np.ndarray, log_p: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(done), pa.array(log_p)], ["key", "done", "log_p"])
+
+
+def _resolve(asked: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """One level's part of the types' decisions: types meet the nodes of their context in one sorted shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ps = np.empty(0, np.uint64), np.empty(0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            context = batch.column("context").to_numpy().view(np.uint64)
+            path, p = batch.column("path").to_numpy(), batch.column("p").to_numpy()
+            node = path < 256
+            keys = np.concatenate([keys, (context[node] << np.uint64(8)) | path[node].astype(np.uint64)])
+            ps = np.concatenate([ps, p[node]])
+            if not node.all():
+                key, done = (batch.column(c).to_numpy()[~node].copy() for c in ("key", "done"))
+                key, log_p = key.view(np.uint64), p[~node].copy()
+                _walk(keys, ps, context[~node], key, done, log_p)
+                yield _rows(key, done, log_p)
+            kept = keys >= context[-1] << np.uint64(8)  # the last context may go on in the next batch
+            keys, ps = keys[kept], ps[kept]
+
+    context = F.expr(f"shiftrightunsigned(key, 8) & {(1 << 8 * level) - 1}L").alias("context")
+    types_ = asked.select(context, F.lit(256).alias("path"), F.col("log_p").alias("p"), "key", "done")
+    both = nodes.select("context", "path", "p", F.lit(0).cast("long").alias("key"), F.lit(0).alias("done")).union(types_)
+    return both.repartition("context").sortWithinPartitions("context", "path").mapInArrow(run, _ASKED)
+
+
+def log_probabilities(types_: DataFrame, predicted: list[DataFrame]) -> DataFrame:
+    """(key, log_p): log10 probability by the whole tree of each of the distinct packed types ``key``.
+
+    Types meet the nodes level by level, from the deepest; only those with decisions that a level
+    doesn't know go on. Levels 0 and 1, which have at most 65,535 nodes, are broadcast.
+    """
+    depth = len(predicted) - 1
+    asked = types_.select("key", F.lit(0).alias("done"), F.lit(0.0).alias("log_p"))
+    finished = []
+    for level in range(depth, 1, -1):
+        asked = materialize(_resolve(asked, predicted[level], level), f"asked{level}")
+        finished.append(asked.filter("done = 8").select("key", "log_p"))
+        asked = asked.filter("done < 8")
+    top = []
+    for level in range(min(depth, 1), -1, -1):
+        found = predicted[level].orderBy("context", "path").toArrow()
+        keys = (found["context"].to_numpy().astype(np.uint64) << np.uint64(8)) | found["path"].to_numpy().astype(np.uint64)
+        top.append((np.uint64((1 << 8 * level) - 1), keys, found["p"].to_numpy()))
+    tables = types_.sparkSession.sparkContext.broadcast(top)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, done, log_p = (batch.column(c).to_numpy().copy() for c in ("key", "done", "log_p"))
+            key = key.view(np.uint64)
+            for mask, keys, p in tables.value:
+                _walk(keys, p, (key >> np.uint64(8)) & mask, key, done, log_p)
+            yield _rows(key, done, log_p + (8 - done) * math.log10(0.5))
+
+    out = asked.mapInArrow(run, _ASKED).select("key", "log_p")
+    for x in finished:
         out = out.union(x)
     return out
 
 
+def frequent_types(counts: DataFrame, limit: int) -> DataFrame:
+    """(key): the types seen most often, at most ``limit``; those of about equal counts go together."""
+    types_ = counts.filter("kind = 1").select("key", F.floor(F.log2("n") * 8).cast("int").alias("class"))
+    total, least = 0, None
+    for r in types_.groupBy("class").count().orderBy(F.desc("class")).collect():  # at most 8 * 63 rows
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["class"]
+    return types_.filter(F.lit(False) if least is None else F.col("class") >= least).select("key")
+
+
 def _slot_hash(level: int | np.ndarray, context: np.ndarray, path: np.ndarray) -> np.ndarray:
     h = context.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + path.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     return mix(h + np.asarray(level).astype(np.uint64) * np.uint64(0x165667B19E3779F9))
 
 
 class TreeTable:
-    """The tree in a hash table of a fixed number of slots.
+    """The tree in a hash table of a fixed number of slots, an approximation for a look at single types; ``score`` uses the whole tree.
 
     Of nodes that share a slot the one seen most often has it; a 15-bit tag tells others
     apart, which then count as unseen. Where a context has no node of its own, the tree ends
@@ -210,7 +329,9 @@ def score(docs: DataFrame, train: DataFrame, *, doc_id: str = "doc_id", text: st
 
     Words with a share of training tokens of at least 2 ** -FREQUENT_BITS, whose number
     is bounded by that, are looked up in a broadcast table; the rest meet their counts in a join, in which no word
-    can hold more than that share of the training rows. The tree is broadcast in a table of fixed size.
+    can hold more than that share of the training rows. Types (contexts with their byte) do likewise: the
+    2 ** slot_bits seen most often are broadcast with their probabilities, the rest meet the whole tree in
+    joins. What is broadcast makes no difference to the scores.
     """
     spark = docs.sparkSession
     counts = materialize(count_table(train, text=text, depth=depth), "counts")
@@ -222,23 +343,32 @@ def score(docs: DataFrame, train: DataFrame, *, doc_id: str = "doc_id", text: st
     found = words.filter(F.col("n") >= least).select("key", "n").orderBy("key").toArrow()
     frequent = spark.sparkContext.broadcast((found["key"].to_numpy(), found["n"].to_numpy()))
     del found
-    model = spark.sparkContext.broadcast(tree_table(tree(counts, depth), depth, slot_bits))
+    predicted = predictions(_levels(counts, depth))
+    found = log_probabilities(frequent_types(counts, 1 << slot_bits), predicted).orderBy("key").toArrow()
+    model = spark.sparkContext.broadcast((found["key"].to_numpy().view(np.uint64), found["log_p"].to_numpy()))
+    del found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ns = frequent.value
         logs = np.log10((ns + 0.1) / denominator)
-        table = model.value
+        type_keys, type_logs = model.value
         memo_key = np.full(1 << _MEMO_BITS, np.iinfo(np.uint64).max, np.uint64)
         memo = np.zeros(1 << _MEMO_BITS)
         place = lambda t: (t * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MEMO_BITS)
 
+        def look_up(t: np.ndarray) -> np.ndarray:
+            if not len(type_keys):
+                return np.full(len(t), np.nan)
+            at = np.minimum(np.searchsorted(type_keys, t), len(type_keys) - 1)
+            return np.where(type_keys[at] == t, type_logs[at], np.nan)
+
         def log10(t: np.ndarray) -> np.ndarray:
             at = place(t)
             out = memo[at]
             miss = np.flatnonzero(memo_key[at] != t)
             if len(miss):
                 new, back = np.unique(t[miss], return_inverse=True)
-                values = table.log10(new)
+                values = look_up(new)
                 out[miss] = values[back]
                 _, last = np.unique(place(new)[::-1], return_index=True)  # one type for each place
                 last = len(new) - 1 - last
@@ -264,8 +394,13 @@ def score(docs: DataFrame, train: DataFrame, *, doc_id: str = "doc_id", text: st
                 starts = ends - sizes
                 left = [h[x:y][rare[x:y]] for x, y in zip(starts, ends, strict=True)]
                 offsets = np.cumsum([0, *map(len, left)], dtype=np.int32)
-                bits = log10(types(part, table.depth))
+                packed = types(part, depth)
+                bits = log10(packed)
                 n_bytes = np.array([len(t) + 1 for t in part])
+                missed = np.isnan(bits)
+                rare_types = packed[missed].view(np.int64)
+                type_offsets = np.concatenate([[0], np.cumsum(missed)[np.cumsum(n_bytes) - 1]]).astype(np.int32)
+                bits[missed] = 0.0
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a),
@@ -275,26 +410,31 @@ def score(docs: DataFrame, train: DataFrame, *, doc_id: str = "doc_id", text: st
                         pa.array(np.add.reduceat(bits, np.cumsum(n_bytes) - n_bytes)),
                         pa.array(n_bytes.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(left))),
+                        pa.ListArray.from_arrays(pa.array(type_offsets), pa.array(rare_types)),
                     ],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes", "rare"],
+                    ["doc_id", "n_tokens", "n_known", "base", "score", "n_bytes", "rare", "rare_types"],
                 )
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>"
+    schema = "doc_id long, n_tokens long, n_known long, base double, score double, n_bytes long, rare array<long>, rare_types array<long>"
     scored = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.explode("rare").alias("key"))
     seen = words.filter(F.col("n") < least).select("key", "n")
     met = rare.join(seen, "key", "left").groupBy("row").agg(
         F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(denominator))).alias("rare_base"), F.count("n").alias("rare_known")
     )
-    joined = scored.drop("rare").join(met, "row", "left")
+    rare_types = scored.select("row", F.explode("rare_types").alias("key"))
+    values = log_probabilities(rare_types.select("key").distinct(), predicted)
+    met_types = rare_types.join(values, "key").groupBy("row").agg(F.sum("log_p").alias("rare_score"))
+    joined = scored.drop("rare", "rare_types").join(met, "row", "left").join(met_types, "row", "left")
+    score_ = F.col("score") + F.coalesce("rare_score", F.lit(0.0))
     return joined.select(
         "doc_id",
         "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        score_.alias("score"),
         "n_bytes",
-        (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
+        (-score_ * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"),
     )
