@@ -9,6 +9,8 @@ from urlloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from urlloom.llm.common import materialize
 
 LEAST_QUALITY = 0.3
+#: Near duplicates share NEAR_PERCENT % of their shingles of NEAR_WORDS words; op6 has a contract of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +28,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates stays."""
-    return ngram_join.one_per_component(docs)
+    return ngram_join.one_per_component(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
