@@ -59,7 +59,7 @@ def poisson_count(unit: Column, rate: Column) -> Column:
     """Smallest k whose Poisson probability of at most k exceeds ``unit``.
 
     Terms are made up to rate + 12 * sqrt(rate) + 20, beyond which less than 2 ** -52
-    remains. A rate above 700, whose exp(-rate) would underflow, is an error.
+    remains. Above a rate of 700 they are made as logarithms, as exp(-rate) would underflow.
     """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
     state = F.aggregate(
@@ -72,7 +72,17 @@ def poisson_count(unit: Column, rate: Column) -> Column:
         ),
         lambda s: s["k"],
     )
-    return F.when(rate > 700, F.raise_error(F.lit("repetition rate above 700"))).when(rate > 0, state).otherwise(0)
+    large = F.aggregate(
+        F.sequence(F.lit(1), last),
+        F.struct((-rate).alias("log_term"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k")),
+        lambda s, i: F.struct(
+            (s["log_term"] + F.log(rate / i)).alias("log_term"),
+            (s["cdf"] + F.exp(s["log_term"] + F.log(rate / i))).alias("cdf"),
+            (s["k"] + F.when(s["cdf"] <= unit, 1).otherwise(0)).alias("k"),
+        ),
+        lambda s: s["k"],
+    )
+    return F.when(rate > 700, large).when(rate > 0, state).otherwise(0)
 
 
 def mix(docs: DataFrame, rates: DataFrame, *, doc_id: str = "doc_id", source: str = "source", seed: int = SEED, broadcast_rates: int = 50_000) -> DataFrame:
