@@ -466,7 +466,7 @@ def q47_permutation_importance(spark, sf_dir):
     names = features.resolve("structure_only")
     rows = features.with_features(_labelled(spark, sf_dir)).select("page_id", "label", *names)
     fitted = modelling.Fitted(rows, names, "logistic_regression", {"C": 1.0}, 1)
-    return modelling.permutation_importance(fitted, rows, "page_id", repeats=3)
+    return modelling.permutation_importance(fitted, rows, "page_id")
 
 
 _HOPS = """('ok', array(named_struct('http_status', 302, 'same_origin', true, 'location', '/r', 'content_type', '', 'body_start', '', 'truncated', false, 'rules_allow', CAST(NULL AS BOOLEAN)),
