@@ -111,7 +111,7 @@ WITH pages AS (
 ), flagged AS (
   SELECT c.source, list(line_key) AS drop_keys
   FROM counts c JOIN hosts h ON c.source IS NOT DISTINCT FROM h.source
-  WHERE line_key IS NOT NULL AND line_pages >= {line_dedup.MIN_PAGES} AND line_pages > {line_dedup.RATIO}::DOUBLE * host_pages
+  WHERE line_key IS NOT NULL AND line_pages > 1 AND line_pages > {line_dedup.RATIO}::DOUBLE * host_pages
   GROUP BY c.source
 ), cut AS (
   SELECT k.*, list_filter(lines, lambda l, i: line_keys[i] IS NULL OR NOT list_contains(coalesce(drop_keys, []), line_keys[i])) AS kept
