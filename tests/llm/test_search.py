@@ -47,20 +47,34 @@ def test_no_vectors(spark):
     assert vp.nearest(df.filter("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def stretches(same):
+    """The best (matched, -length, -start) of all stretches at a rate of 0.8."""
+    found = [(sum(same[i:j]), i - j, -i) for i in range(len(same)) for j in range(i + 1, len(same) + 1) if same[i] and same[j - 1] and 5 * sum(same[i:j]) >= 4 * (j - i)]
+    return max(found, default=(0, 0, 0))
+
+
 def brute(docs, items):
     out = set()
     for d, t in docs:
         a = dc.tokens(t or "").tolist()
         for i, u in items:
             b = dc.tokens(u or "").tolist()
+            needed = min(dc.MIN_MATCHED, -(-8 * len(b) // 10))
             for shift in range(-len(b) + 1, len(a)):
                 same = [a[shift + k] == b[k] for k in range(len(b)) if 0 <= shift + k < len(a)]
-                _, n, m = dc.best_overlap(same)
-                if n and m >= min(dc.MIN_MATCHED, -(-8 * len(b) // 10)) and m >= 0.8 * n:
+                if sum(same) >= max(1, needed) and stretches(same)[0] >= needed:
                     out.add((d, i))
     return out
 
 
+def test_best_overlap_equals_all_stretches():
+    rng = random.Random(3)
+    for _ in range(800):
+        same = [rng.random() < rng.choice([0.6, 0.8, 0.9]) for _ in range(rng.randint(0, 24))]
+        matched, n, start = stretches(same)
+        assert dc.best_overlap(same) == (-start, -n, matched)
+
+
 def test_planted_passages(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
@@ -82,3 +96,55 @@ def test_planted_passages(spark):
     assert {r.doc_id for r in dc.drop_contaminated(df, bench).collect()} == {*range(40), 91, 92, 93}
     assert dc.contaminated_pairs(df, bench.filter("false")).count() == 0
     assert dc.contaminated_pairs(df.filter("false"), bench).count() == 0
+
+
+def _qualifies(same, n_item):
+    return stretches(same)[0] >= min(dc.MIN_MATCHED, -(-8 * n_item // 10))
+
+
+@pytest.mark.parametrize("n", [*range(1, 13), 14, 15, 16, 18, 20, 25, 32, 48])
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, 0.2])
+def test_seed_recall(n, rate):
+    """Share of overlaps that count and that a seed meets; below 12 words, and at the ends of a text, no one is missed."""
+    rng = random.Random(n)
+    short = (n,) if n < dc.SPAN else ()
+    met = tried = 0
+    for _ in range(300):
+        item = np.array([rng.getrandbits(60) for _ in range(n)], np.uint64)
+        same = [True] * n
+        for i in rng.sample(range(n), int(rate * n)):
+            same[i] = False
+        if not _qualifies(same, n):
+            continue
+        text = np.array([w if x else rng.getrandbits(60) for w, x in zip(item, same, strict=True)], np.uint64)
+        around = [np.array([rng.getrandbits(60) for _ in range(rng.choice([0, 3]))], np.uint64) for _ in range(2)]
+        text = np.concatenate([around[0], text, around[1]])
+        own = {int(dc._hashes(item, m, n)[0]): {0} for m in dc.short_masks(n)} if short else {}
+        for at, h in dc.seeds(item) if not short else ():
+            for a, x in zip(at.tolist(), h.tolist(), strict=True):
+                own.setdefault(x, set()).add(a)
+        tried += 1
+        met += any(a - b == len(around[0]) for at, h in dc.seeds(text, short) for a, x in zip(at.tolist(), h.tolist(), strict=True) for b in own.get(x, ()))
+    assert tried and met >= (1.0 if short else 0.95) * tried
+
+
+def test_short_items_with_a_substitution_and_cut_ends(spark):
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet"
+    words = item.split()
+    docs = [(1, " ".join(["x", *words[:4], "other", *words[5:], "y"])), (2, " ".join(words[2:])), (3, " ".join(words[:8])), (4, " ".join(words[:7])), (5, " ".join([*words[:2], "o", *words[3:6], "p", *words[7:]])), (6, " ".join(["q", "r", "s", *words[3:]]))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in dc.contaminated_pairs(df, bench).collect()} == {1, 2, 3, 5} == {d for d, _ in brute(docs, [(1, item)])}
+
+
+def test_long_repetitive_texts_and_hot_seeds(spark, monkeypatch):
+    rng = random.Random(8)
+    passage = " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(30))
+    docs = [(1, "same " * 20_000), (2, "other " * 30)] + [(10 + i, f"w{i} {passage} v{i}") for i in range(300)] + [(None, passage)]
+    bench = spark.createDataFrame([(1, "same " * 30), (2, passage)], "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want = {(1, 1), (None, 2)} | {(10 + i, 2) for i in range(300)}
+    for limit in (dc.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(dc, "BROADCAST_SEEDS", limit)
+        got = dc.contaminated_pairs(df, bench).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+        assert all((r.start, r.words, r.matched) == (0, 30, 30) for r in got if r.doc_id == 1)
