@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from urlloom.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from urlloom.llm.common import materialize
@@ -14,16 +13,13 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below LEAST_QUALITY go; rows without an id stay."""
-    scores = quality.train_and_score(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scores.filter(F.col("score") < LEAST_QUALITY).select("doc_id").distinct()
-    return docs.join(rejected.hint("shuffle_hash"), "doc_id", "left_anti")
+    """Documents that score below LEAST_QUALITY go."""
+    return quality.drop_low(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), least=LEAST_QUALITY)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go; n_chars follows the text."""
-    cut = line_dedup.drop_boilerplate(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return line_dedup.without_boilerplate(docs, length="n_chars")
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
