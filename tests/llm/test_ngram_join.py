@@ -73,3 +73,51 @@ def test_one_per_component(spark):
     got = sorted((r.doc_id, r.key) for r in nj.one_per_component(docs).collect())
     assert got == [(1, "x"), (3, "z"), (4, "z"), (5, "q")]
     assert nj.one_per_component(docs.filter("false")).count() == 0
+
+
+def test_rows_go_by_id_and_text(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    near = a.replace("a7", "other")
+    rows = [(3, a), (5, a), (5, b), (7, b), (8, None), (8, None), (9, b), (9, b), (None, b), (20, "x y z"), (20, "x y z"), (30, a + " tail"), (30, near + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.text) for r in nj.one_per_component(docs, percent=95).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (8, None), (8, None), (None, b), (20, "x y z"), (30, near + " end")], key=str)
+
+
+def test_long_and_repetitive_texts(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    docs = spark.createDataFrame([(1, long), (2, long + " end"), (3, "same " * 50_000), (4, "same " * 40_000), (5, "x")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.similarity_components(docs).collect()}
+    assert got == {1: (59_997, 1), 2: (59_998, 1), 3: (1, 3), 4: (1, 3), 5: (1, 5)}
+
+
+def test_classes_that_share_half_a_key_stay_apart(spark):
+    rows = [(7, 1, 1, 5, True), (7, 2, 2, 5, True), (8, 1, 3, 5, True), (9, 1, 4, 5, False)]
+    classes = spark.createDataFrame(rows, "key long, key2 long, rep long, n long, stays boolean")
+    nodes = {(r.key, r.key2): r.node for r in nj.survivor_table(classes).collect()}
+    assert nodes.keys() == {(7, 1), (7, 2), (8, 1)} and len(set(nodes.values())) == 3 and nodes[7, 1] == 7
+
+
+def test_meet_equals_a_join(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from urlloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.range(3000).select(F.when(F.col("id") < 1500, 1).when(F.col("id") < 1600, 2).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.filter("k <> 2000").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    for how in ("inner", "left"):
+        got = common.meet(rows, table, ["k"], "n", 3000, how)
+        assert sorted(got.collect(), key=str) == sorted(rows.join(table, "k", how).collect(), key=str)
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    from urlloom.llm import common
+
+    table = common.materialize(spark.range(5), "gone")
+    path = common._paths[table].removeprefix("file:")
+    assert os.path.isdir(path) and table.count() == 5
+    common.discard(table)
+    assert not os.path.exists(path)

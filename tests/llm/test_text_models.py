@@ -144,3 +144,37 @@ def test_licences(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("family", F.lit("clash"))
     got = sorted((r.doc_id, r.paragraph, r.family, r.confirmed) for r in license_scan.scan(docs).collect())
     assert got == [(1, 1, "apache-2.0", True), (2, 0, "mit", True), (2, 0, "mit", True), (3, 0, "gpl-3.0", True), (4, 0, "all-rights-reserved", True), (8, 0, "cc-by-nc-4.0", True)]
+
+
+def test_quality_fit_equals_plain_algebra(spark):
+    rng = np.random.default_rng(4)
+    words = ["Alpha", "beta,", "gamma.", "DELTA", "x1", "and", "the", "##"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(3, 60))), int(rng.integers(0, 2))) for i in range(120)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows[:90]], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.train_and_score(docs, labels, features=12).collect()}
+    fold_of = docs.selectExpr("doc_id", f"cast(pmod(xxhash64(text, 1), {quality.FOLDS}) as int) AS fold")
+    folds = {r.doc_id: r.fold for r in fold_of.collect()}
+    x = np.array([quality.statistics(t.encode()) for _, t, _ in rows])
+    train, y, fold = x[:90], np.array([r[2] for r in rows[:90]], float), np.array([folds[i] for i in range(90)])
+    mean, scale = train.mean(0), np.sqrt(np.maximum((train**2).mean(0) - train.mean(0) ** 2, 1e-12))
+    rng = np.random.default_rng(7)
+    weights, phases = rng.normal(size=(x.shape[1], 12)) / math.sqrt(x.shape[1]), rng.uniform(0, 2 * math.pi, 12)
+    f = np.hstack([np.cos(np.clip((x - mean) / scale, -6, 6) @ weights + phases) * math.sqrt(2 / 12), np.ones((len(x), 1))])
+    penalty = np.diag([1e-3 * 90 / 12] * 12 + [1e-9 * 90])
+    solve = lambda keep: np.linalg.solve(f[:90][keep].T @ f[:90][keep] + penalty, f[:90][keep].T @ y[keep])
+    out_of_fold = np.array([f[i] @ solve(fold != fold[i]) for i in range(90)])
+    at = np.clip(((out_of_fold + 0.5) / 2 * 512).astype(int), 0, 511)
+    bins = sorted(set(at))
+    knots, values = quality.isotonic(np.array([(b + 0.5) / 512 * 2 - 0.5 for b in bins]), np.array([y[at == b].mean() for b in bins]), np.array([float((at == b).sum()) for b in bins]))
+    want = np.interp(f @ solve(np.ones(90, bool)), knots, values)
+    assert [got[i] for i in range(120)] == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_quality_sample_bound_empty_table_and_null_ids(spark):
+    docs = spark.createDataFrame([(i, f"Good text number {i}." if i % 2 else f"## $$ {i} %%") for i in range(400)] + [(None, "x")], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) AS quality")
+    got = quality.train_and_score(docs, labels, features=16, sample=200).collect()
+    assert len(got) == 401 and all((r.score > 0.5) == bool(r.doc_id % 2) for r in got if r.doc_id is not None)
+    assert quality.train_and_score(docs.filter("false"), labels, features=16).count() == 0
+    assert {r.doc_id for r in quality.drop_low(docs, labels, least=0.3, features=16).collect()} >= set(range(1, 400, 2))
