@@ -9,10 +9,11 @@ from urlloom.functions.urls import subdomain_count
 
 #: Words, feature names and sets that results depend on.
 KEYWORDS = ("account", "bank", "confirm", "login", "password", "secure", "signin", "update", "verify")
-BASELINE = (
-    "url_length hostname_length path_length query_length dot_count subdomain_count slash_count digit_count digit_ratio "
-    "hyphen_count at_count question_count equals_count ampersand_count uses_https is_ip_hostname suspicious_keyword_count url_entropy"
-).split()
+BASELINE = [
+    "url_length", "hostname_length", "path_length", "query_length", "dot_count", "subdomain_count",
+    "slash_count", "digit_count", "digit_ratio", "hyphen_count", "at_count", "question_count",
+    "equals_count", "ampersand_count", "uses_https", "is_ip_hostname", "suspicious_keyword_count", "url_entropy",
+]
 EXTRA = ["hostname_digit_ratio", "percent_encoded_count", "has_nondefault_port"]
 BINARY = ("uses_https", "is_ip_hostname")
 FLOATS = ("digit_ratio", "url_entropy", "hostname_digit_ratio")
@@ -88,3 +89,20 @@ def with_features(df: DataFrame, names: str | list[str] = "baseline") -> DataFra
         "has_nondefault_port": F.col("port").isNotNull().cast("int"),
     }
     return df.select("*", *[F.when(u.isNotNull(), made[x]).alias(x) for x in resolve(names)])
+
+
+def aligned(df: DataFrame, names: str | list[str], values: str = "features", allow_missing: bool = False) -> DataFrame:
+    """Rows of a map column (feature -> number) with one double column for each name, in order, and ``problem``.
+
+    problem names the first unregistered key, then the first missing or non-finite value; with ``allow_missing`` a missing or
+    NaN value is null instead. Registered keys outside ``names`` are ignored.
+    """
+    wanted, known = resolve(names), F.array(*map(F.lit, [*BASELINE, *EXTRA]))
+    strange = F.array_min(F.array_except(F.map_keys(values), known))
+    problem, columns = F.when(strange.isNotNull(), F.concat(F.lit("unknown: "), strange)), []
+    for n in wanted:
+        x = F.try_element_at(values, F.lit(n)).cast("double")
+        gone = x.isNull() | F.isnan(x)
+        problem = F.coalesce(problem, F.when(F.abs(x) == float("inf"), F.lit(f"not finite: {n}")), F.lit(None) if allow_missing else F.when(gone, F.lit(f"missing: {n}")))
+        columns.append(F.when(~gone, x).alias(n))
+    return df.select(*df.columns, *columns, problem.alias("problem"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -130,9 +131,53 @@ def subdomain_count(host: Column, is_ip: Column, domain: Column) -> Column:
     return F.when(is_ip, 0).otherwise(F.greatest(F.size(F.split(host, r"\.")) - F.size(F.split(domain, r"\.")), F.lit(0)))
 
 
+#: More rules than this are joined by distinct host instead of being compared in an expression.
+_LISTED_RULES = 500
+
+
+def with_registered_domain(df: DataFrame, rules: SuffixRules, host: str = "host", is_ip: str = "is_ip") -> DataFrame:
+    """``df`` with registered_domain by a rule table of any size.
+
+    Distinct host names offer each of their endings to the broadcast rules (a public list has some ten thousand),
+    and the longest suffix comes back to the rows by host. A host that holds much of the rows is met by a table of one row a
+    host, which adaptive execution may broadcast or split.
+    """
+    spark = df.sparkSession
+    kinds = (("plain", rules.plain), ("wildcard", rules.wildcard_parents), ("exception", rules.exceptions))
+    listed = spark.createDataFrame([(k, r) for k, rs in kinds for r in sorted(rs)], "kind string, ending string")
+    hosts = df.filter(F.col(host).isNotNull() & ~F.col(is_ip)).select(F.col(host).alias("_host")).distinct().withColumn("_labels", F.split("_host", r"\."))
+    size = F.size("_labels")
+    ends = hosts.select("_host", F.explode(F.sequence(F.lit(1), size)).alias("_k"), "_labels").withColumn("ending", F.array_join(F.slice("_labels", F.size("_labels") - F.col("_k") + 1, F.col("_k")), "."))
+    met = ends.join(F.broadcast(listed), "ending")
+    suffix = F.coalesce(F.max(F.when(F.col("kind") == "exception", F.col("_k") - 1)), F.max(F.when(F.col("kind") == "plain", F.col("_k")).when(F.col("kind") == "wildcard", F.least(F.col("_k") + 1, F.size("_labels")))))
+    # A wildcard needs a label in its place: a host that is the parent itself has no match by it.
+    met = met.filter((F.col("kind") != "wildcard") | (F.col("_k") < F.size("_labels")))
+    found = met.groupBy("_host", "_labels").agg(suffix.alias("_s")).filter((F.col("_s") > 0) & (F.col("_s") < size))
+    named = found.select("_host", F.array_join(F.slice("_labels", size - F.col("_s"), F.col("_s") + 1), ".").alias("_domain"))
+    joined = df.join(named, F.col(host) == F.col("_host"), "left")
+    return joined.select(*df.columns, F.coalesce("_domain", host).alias("registered_domain"))
+
+
 def with_clean_urls(df: DataFrame, url: str = "url_raw", rules: SuffixRules = DEFAULT_RULES) -> DataFrame:
     """with_url_parts plus registered_domain."""
-    return with_url_parts(df, url).withColumn("registered_domain", registered_domain(F.col("host"), F.col("is_ip"), rules))
+    parts = with_url_parts(df, url)
+    if len(rules.plain) > _LISTED_RULES:
+        return with_registered_domain(parts, rules)
+    return parts.withColumn("registered_domain", registered_domain(F.col("host"), F.col("is_ip"), rules))
+
+
+def site_url(domain: Column) -> Column:
+    """The address whose registered domain stands for a bare domain."""
+    return F.concat(F.lit("https://"), F.lower(F.trim(domain)), F.lit("/"))
+
+
+def register_views(df: DataFrame, url: str = "url_raw", clean: str = "clean_urls", features: str = "url_features") -> None:
+    """Let the session's SQL read a table's cleaned URLs (parts, registered_domain, reason) and their features, as two temporary views."""
+    from urlloom.functions.features import with_features
+
+    made = with_clean_urls(df, url)
+    made.createOrReplaceTempView(clean)
+    with_features(made, "expanded21").createOrReplaceTempView(features)
 
 
 def require_valid(df: DataFrame) -> DataFrame:
@@ -158,11 +203,10 @@ def is_public_ip(address: str) -> bool:
 
 
 def public_ip_column(address: Column) -> Column:
-    import pandas as pd
-
-    @F.pandas_udf("boolean")
-    def check(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: v is not None and is_public_ip(v))
+    """``is_public_ip`` of a column, in Arrow batches; null is no public address."""
+    @F.arrow_udf("boolean")
+    def check(values: pa.Array) -> pa.Array:
+        return pa.array([x is not None and is_public_ip(x) for x in values.to_pylist()], pa.bool_())
 
     return check(address)
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlloom.functions.features import BASELINE, BINARY
+from urlloom.functions.seeds import unit
+from urlloom.operators.draws import take_smallest
 
 QUANTILES = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
 
@@ -19,16 +21,19 @@ def feature_summary(df: DataFrame, names: list[str] = BASELINE, label: str = "la
     """Mean, median, sample deviation (0 for one row), extremes; counts and shares of ones for binary features."""
     binary = F.col("feature").isin(*BINARY)
     rows = long_features(df, names, [label]).withColumnRenamed(label, "label")
+    # Equal values meet first, so a median is taken over distinct values and their counts.
+    counted = rows.groupBy("label", "feature", "value").agg(F.count("value").alias("c"))
+    medians = counted.filter("value IS NOT NULL").groupBy("label", "feature").agg(F.percentile("value", F.lit(0.5), F.col("c")).alias("median"))
     made = rows.groupBy("label", "feature").agg(
         F.count("value").alias("count"),
         F.avg("value").alias("mean"),
-        F.median("value").alias("median"),
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("standard_deviation"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.count_if(F.col("value") == 1).alias("ones"),
     )
-    number = lambda c: F.when(~binary, F.round(c, 6)).alias(c)
+    made = made.join(F.broadcast(medians), ["label", "feature"], "left")
+    number = lambda c: F.when(~binary, F.col(c)).alias(c)
     return made.select(
         "label",
         "feature",
@@ -36,7 +41,7 @@ def feature_summary(df: DataFrame, names: list[str] = BASELINE, label: str = "la
         "count",
         *[number(c) for c in ("mean", "median", "standard_deviation", "min", "max")],
         F.when(binary, F.col("ones")).alias("count_equal_1"),
-        F.when(binary, F.round(F.try_divide("ones", "count"), 6)).alias("proportion_equal_1"),
+        F.when(binary, F.try_divide("ones", "count")).alias("proportion_equal_1"),
     )
 
 
@@ -72,30 +77,31 @@ def correlations(df: DataFrame, names: list[str]) -> DataFrame:
     """(a, b, r) of all pairs a < b in one pass; constant columns give null."""
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
     row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    made = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.nanvl(f"r{i}", F.lit(None)), 6).alias("r")) for i, (a, b) in enumerate(pairs)]
+    made = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.nanvl(f"r{i}", F.lit(None)).alias("r")) for i, (a, b) in enumerate(pairs)]
     return row.select(F.inline(F.array(*made)))
 
 
 def profile(df: DataFrame, group: str = "domain_group", label: str = "label") -> DataFrame:
-    """Rows, groups, concentration (largest and top-10 share, sum of squared shares), rates and length quantiles by label."""
+    """Rows, groups, concentration (largest and top-10 share, sum of squared shares), rates and length quantiles by label.
+
+    Quantiles come from lengths counted by value; the ten largest groups pass a limit in every task before they meet.
+    """
     sizes = df.groupBy(label, group).agg(F.count(F.lit(1)).alias("n"))
-    ranked = sizes.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("n"), group)))
+    largest = sizes.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("n"), group))).filter("r <= 10").groupBy(label).agg(F.sum("n").alias("top"))
+    lengths = df.groupBy(label, F.length("url_clean").alias("length")).agg(F.count(F.lit(1)).alias("c"))
+    quantiles = lengths.groupBy(label).agg(F.percentile("length", F.array(*map(F.lit, QUANTILES)), F.col("c")).alias("length_quantiles"))
     totals = df.groupBy(label).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg((F.col("scheme") == "https").cast("int")).alias("https_rate"),
         F.avg((F.col("path") == "/").cast("int")).alias("root_rate"),
         F.avg((F.col("query") != "").cast("int")).alias("query_rate"),
-        F.percentile(F.length("url_clean"), F.array(*map(F.lit, QUANTILES))).alias("length_quantiles"),
-    )
-    shares = ranked.join(totals.select(label, "rows"), label).groupBy(label).agg(
-        F.count(F.lit(1)).alias("domains"),
-        F.max(F.col("n") / F.col("rows")).alias("largest_share"),
-        F.sum(F.when(F.col("r") <= 10, F.col("n") / F.col("rows"))).alias("top_10_share"),
-        F.sum(F.pow(F.col("n") / F.col("rows"), 2)).alias("hhi"),
     )
-    numbers = ("largest_share", "top_10_share", "hhi", "https_rate", "root_rate", "query_rate")
-    joined = totals.join(shares, label)
-    return joined.select(F.col(label).alias("label"), "rows", "domains", *[F.round(c, 6).alias(c) for c in numbers], F.transform("length_quantiles", lambda q: F.round(q, 6)).alias("length_quantiles"))
+    spread = sizes.groupBy(label).agg(F.count(F.lit(1)).alias("domains"), F.max("n").alias("most"), F.sum(F.pow(F.col("n"), 2)).alias("squares"))
+    joined = totals.join(spread, label).join(largest, label).join(quantiles, label)
+    return joined.select(
+        F.col(label).alias("label"), "rows", "domains", (F.col("most") / F.col("rows")).alias("largest_share"), (F.col("top") / F.col("rows")).alias("top_10_share"),
+        (F.col("squares") / F.pow("rows", F.lit(2))).alias("hhi"), "https_rate", "root_rate", "query_rate", "length_quantiles",
+    )
 
 
 def group_report(df: DataFrame, group: str = "domain_group") -> DataFrame:
@@ -110,14 +116,32 @@ def beyond_first(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def dataset_audit(df: DataFrame, group: str = "domain_group") -> DataFrame:
-    """A long table (section, key, value) of counts, of rows meant for development only."""
-    value = lambda section, key, v: F.struct(F.lit(section).alias("section"), F.lit(key).alias("key"), v.cast("string").alias("value"))
-    one = df.agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct(group).alias("groups"), F.count_if(F.col("label") == 1).alias("positives"), F.count_if(F.col("url_clean").isNull()).alias("invalid")
-    ).select(F.inline(F.array(*[value("overview", k, F.col(k)) for k in ("rows", "groups", "positives", "invalid")])))
-    sources = df.groupBy("source").count().select(F.lit("source").alias("section"), F.col("source").alias("key"), F.col("count").cast("string").alias("value"))
-    return one.unionByName(sources)
+def dataset_audit(df: DataFrame, names: list[str] = BASELINE, group: str = "domain_group") -> DataFrame:
+    """A long table (section, key, value as text) over rows with URL parts and features.
+
+    Sections: label, source_x_label, quality, the rates of https, root paths and queries by source and label, and
+    missing, infinite and distinct values of every feature. Rates have six digits.
+    """
+    entry = lambda section, key, v: F.struct(F.lit(section).alias("section"), key.cast("string").alias("key"), v.cast("string").alias("value"))
+    cell = F.concat_ws("|", "source", "label")
+    rate = lambda c: F.round(F.avg(c.cast("int")), 6)
+    cells = df.groupBy("source", "label").agg(
+        F.count(F.lit(1)).alias("n"), rate(F.col("scheme") == "https").alias("https"), rate(F.col("path").isin("", "/")).alias("root"), rate(F.col("query") != "").alias("has_query")
+    )
+    sections = {"source_x_label": "n", "https_rate": "https", "root_path_rate": "root", "query_rate": "has_query"}
+    by_cell = cells.select(F.inline(F.array(*[entry(section, cell, F.col(c)) for section, c in sections.items()])))
+    by_label = df.groupBy("label").count().select(F.inline(F.array(entry("label", F.col("label"), F.col("count")))))
+    repeats = lambda key: F.coalesce(F.sum("n") - F.count(F.lit(1)), F.lit(0)).alias(key)
+    raw = df.groupBy("url_raw").agg(F.count(F.lit(1)).alias("n")).agg(repeats("exact_duplicate_raw"))
+    clean = df.groupBy("url_clean").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    clean = clean.agg(repeats("normalized_duplicate"), F.count_if(F.col("lo") != F.col("hi")).alias("conflicting_normalized_labels"))
+    whole = df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(group) == "").alias("missing_domain")).join(F.broadcast(raw)).join(F.broadcast(clean))
+    quality = whole.select(F.inline(F.array(*[entry("quality", F.lit(c), F.col(c)) for c in ("rows", "exact_duplicate_raw", "normalized_duplicate", "conflicting_normalized_labels", "missing_domain")])))
+    by_feature = long_features(df, names, []).groupBy("feature").agg(
+        F.count_if(F.col("value").isNull() | F.isnan("value")).alias("feature_missing"), F.count_if(F.abs("value") == float("inf")).alias("feature_infinite"), F.count_distinct(F.nanvl("value", F.lit(None))).alias("feature_unique")
+    )
+    by_feature = by_feature.select(F.inline(F.array(*[entry(c, F.col("feature"), F.col(c)) for c in ("feature_missing", "feature_infinite", "feature_unique")])))
+    return by_label.unionByName(by_cell).unionByName(quality).unionByName(by_feature)
 
 
 #: Names that failure reasons start with.
@@ -134,12 +158,39 @@ def failure_summary(failures: DataFrame) -> DataFrame:
     return failures.groupBy("stage", failure_category(F.col("reason")).alias("reason_category")).agg(F.count(F.lit(1)).alias("count"))
 
 
-def suitability(df: DataFrame, group: str = "domain_group", urls: int = 2000, domains: int = 300, inner: float = 0.2) -> DataFrame:
-    """One row: counts, share of inner pages, and suitable or unsuitable by three thresholds."""
-    is_inner = F.avg((~F.col("path").isin("", "/")).cast("int"))
-    row = df.agg(F.count(F.lit(1)).alias("urls"), F.count_distinct(group).alias("domains"), F.coalesce(is_inner, F.lit(0.0)).alias("inner_rate"))
-    passed = (F.col("urls") >= urls) & (F.col("domains") >= domains) & (F.col("inner_rate") >= inner)
-    return row.select("urls", "domains", F.round("inner_rate", 6).alias("inner_rate"), F.when(passed, "suitable").otherwise("unsuitable").alias("decision"))
+def suitability(df: DataFrame, failures: DataFrame | None = None, group: str = "domain_group", urls: int = 2000, domains: int = 300, inner: float = 0.2) -> DataFrame:
+    """One row: counts, rates, ``reasons`` (the thresholds that are missed) and ``decision``.
+
+    Without a candidate_domain column every row's group counts as its own evidence.
+    """
+    candidate = "candidate_domain" if "candidate_domain" in df.columns else group
+    share = lambda c: F.avg(c.cast("int"))
+    row = df.agg(
+        F.count(F.lit(1)).alias("urls"),
+        F.count_distinct(group).alias("domains"),
+        F.count_distinct(candidate).alias("candidate_domains_with_evidence"),
+        share(F.col("scheme") == "https").alias("https_rate"),
+        share(~F.col("path").isin("", "/")).alias("inner_page_rate"),
+        share(F.col("query") != "").alias("query_rate"),
+        (F.count("url_clean") - F.count_distinct("url_clean")).alias("normalized_duplicates"),
+    )
+    row = row.join(F.broadcast(failures.agg(F.count(F.lit(1)).alias("failures")))) if failures is not None else row.withColumn("failures", F.lit(0).cast("bigint"))
+    missed = {"too_few_urls": F.col("urls") < urls, "too_few_domains": F.col("domains") < domains, "inner_page_rate": ~F.coalesce(F.col("inner_page_rate") >= inner, F.lit(False))}
+    reasons = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in missed.items()]))
+    decision = F.when(F.size("reasons") == 0, "suitable_for_bounded_baseline_with_caveats").otherwise("unsuitable")
+    return row.withColumn("reasons", reasons).withColumn("decision", decision)
+
+
+def structure_summary(df: DataFrame, by: str = "observed_from", group: str = "domain_group") -> DataFrame:
+    """URLs, groups and the rates of https, inner pages and queries by where a URL was observed."""
+    share = lambda c: F.avg(c.cast("int"))
+    return df.groupBy(by).agg(
+        F.count("url_clean").alias("url_count"),
+        F.count_distinct(group).alias("domain_count"),
+        share(F.col("scheme") == "https").alias("https_rate"),
+        share(~F.col("path").isin("", "/")).alias("inner_page_rate"),
+        share(F.col("query") != "").alias("query_rate"),
+    )
 
 
 def class_gate(df: DataFrame, group: str = "domain_group", rows: int = 2000, domains: int = 300) -> DataFrame:
@@ -150,12 +201,12 @@ def class_gate(df: DataFrame, group: str = "domain_group", rows: int = 2000, dom
 
 def review_queue(df: DataFrame, seed: int, k: int = 5) -> DataFrame:
     """At most k rows of each stratum (homepage, inner, query) by a seeded hash; a row counts for its first stratum."""
-    from urlloom.functions.seeds import unit
-
     stratum = F.when(F.col("query") != "", "query").when(F.col("path").isin("", "/"), "homepage").otherwise("inner")
     rows = df.withColumn("stratum", stratum)
-    at = F.row_number().over(Window.partitionBy("stratum").orderBy(unit(seed, F.col("url_clean")), "url_clean"))
-    return rows.withColumn("position", at).filter(F.col("position") <= k)
+    order = unit(seed, F.col("url_clean"))
+    limits = rows.select("stratum").distinct().withColumn("k", F.lit(k))
+    few = take_smallest(rows, ["stratum"], order, ["url_clean"], limits)
+    return few.withColumn("position", F.row_number().over(Window.partitionBy("stratum").orderBy(order, "url_clean")))
 
 
 #: The checks of a modelling table, in the order in which the first failure is raised.

@@ -106,12 +106,14 @@ def grid_search(splits: dict[int, DataFrame], sets: dict[str, list[str]], famili
     """
     out = []
     for seed, df in splits.items():
+        df = df.persist()
         train, validation = df.filter("split = 'train'"), df.filter("split = 'validation'")
         for (set_name, names), family in itertools.product(sets.items(), families):
             for p in parameters(family, grid):
                 scored = Fitted(train.select("label", *names), names, family, p, model_seed).score(validation.select("label", *names))
                 m = confusion(scored.withColumn("k", F.lit(0)), ["k"]).drop("k").first().asDict()
                 out.append({"feature_set": set_name, "model": family, "parameters": json.dumps(p, sort_keys=True), "seed": seed} | m)
+        df.unpersist()
     return out
 
 
@@ -124,25 +126,28 @@ def select_best(metrics: DataFrame) -> DataFrame:
 def paired_difference(metrics: DataFrame, base: str = "logistic_regression") -> DataFrame:
     """(feature_set, seed, model, difference): F1 minus that of the base model."""
     b = metrics.filter(F.col("model") == base).select("feature_set", "seed", F.col("f1").alias("base_f1"))
-    return metrics.filter(F.col("model") != base).join(b, ["feature_set", "seed"]).select("feature_set", "seed", "model", F.round(F.col("f1") - F.col("base_f1"), 6).alias("difference"))
+    return metrics.filter(F.col("model") != base).join(b, ["feature_set", "seed"]).select("feature_set", "seed", "model", (F.col("f1") - F.col("base_f1")).alias("difference"))
 
 
-def permutation_importance(fitted: Fitted, df: DataFrame, ident: str, repeats: int = 10, seed: int = 0) -> DataFrame:
+def permutation_importance(fitted: Fitted, df: DataFrame, ident: str, repeats: int = 10, seed: int = 0, bucket_rows: int = 100_000) -> DataFrame:
     """(feature, importance, std): mean and population deviation of the F1 lost when a feature's values are dealt anew.
 
     All features and repeats are scored in one pass: each row comes once for each, with that feature's
-    value taken from the row at the same place in a hashed order.
+    value taken from the row at the same place in a hashed order. Beyond ``bucket_rows`` rows, values change places within
+    buckets of about that size, which a hash deals anew each time, so no task orders the whole table.
     """
     base = confusion(fitted.score(df.withColumn("k", F.lit(0))), ["k"]).first()["f1"] or 0.0
-    numbered = df.withColumn("_at", F.row_number().over(Window.orderBy(ident)))
+    buckets = max(1, -(-df.count() // bucket_rows))
     parts = None
     for name, r in itertools.product(fitted.names, range(repeats)):
-        order = Window.orderBy(F.xxhash64(F.lit(f"{seed}:{name}:{r}"), F.col(ident)), ident)
-        other = df.select(F.row_number().over(order).alias("_at"), F.col(name).alias("_v"))
-        one = numbered.join(other, "_at").withColumn(name, F.col("_v")).drop("_v", "_at").withColumn("feature", F.lit(name)).withColumn("repeat", F.lit(r))
+        mark = lambda kind, name=name, r=r: F.xxhash64(F.lit(f"{seed}:{kind}:{name}:{r}"), F.col(ident))
+        dealt = df.withColumn("_b", F.pmod(mark("bucket"), F.lit(buckets)))
+        at = lambda *order: F.row_number().over(Window.partitionBy("_b").orderBy(*order)).alias("_at")
+        other = dealt.select("_b", at(mark("order"), ident), F.col(name).alias("_v"))
+        one = dealt.select("*", at(ident)).join(other, ["_b", "_at"]).withColumn(name, F.col("_v")).drop("_v", "_at", "_b").withColumn("feature", F.lit(name)).withColumn("repeat", F.lit(r))
         parts = one if parts is None else parts.unionByName(one)
     lost = confusion(fitted.score(parts), ["feature", "repeat"]).withColumn("lost", base - F.coalesce("f1", F.lit(0.0)))
-    return lost.groupBy("feature").agg(F.round(F.avg("lost"), 6).alias("importance"), F.round(F.stddev_pop("lost"), 6).alias("std"))
+    return lost.groupBy("feature").agg(F.avg("lost").alias("importance"), F.stddev_pop("lost").alias("std"))
 
 
 def predictions(scored: DataFrame, feature_set: str, model: str) -> DataFrame:

@@ -9,13 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from urlloom.functions.seeds import derive_seed, draw_positions, unit, validate_seed
 from urlloom.functions.suffixes import DEFAULT_RULES, SuffixRules
 from urlloom.functions.urls import with_clean_urls
-from urlloom.sources.feeds import SOURCES
+from urlloom.operators.draws import take_smallest
+from urlloom.sources.feeds import DATASET, SOURCES, write_csv
 
 #: Orders that pick the row that stands for a URL.
 BY_PRIORITY = ("priority", "source", "url_raw", "row_number")
@@ -71,12 +72,11 @@ def sample_by_hash(rows: DataFrame, target: int, seed: int) -> DataFrame:
 
     k is the smallest of the target and both class counts.
     """
-    pool = rows.filter("reason IS NULL")
+    pool = rows.filter("reason IS NULL").select("label", "url_clean")
     counts = pool.groupBy().agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
-    k = counts.select(F.least(F.lit(target), "n0", "n1").alias("k"))
-    order = Window.partitionBy("label").orderBy(unit(seed, F.col("url_clean")), "url_clean")
-    ranked = pool.withColumn("r", F.row_number().over(order)).join(F.broadcast(k)).filter("r <= k").select("label", "url_clean")
-    return rows.join(ranked.withColumn("selected", F.lit(True)), ["label", "url_clean"], "left")
+    limits = counts.select(F.least(F.lit(target), "n0", "n1").alias("k"), F.explode(F.array(F.lit(0), F.lit(1))).alias("label"))
+    drawn = take_smallest(pool, ["label"], unit(seed, F.col("url_clean")), ["url_clean"], limits)
+    return rows.join(drawn.withColumn("selected", F.lit(True)), ["label", "url_clean"], "left")
 
 
 def sample_by_generator(rows: DataFrame, target: int, seed: int) -> DataFrame:
@@ -168,3 +168,50 @@ def first_wins(batches: list[DataFrame], names: list[str], key: str = "url_clean
         at = F.row_number().over(Window.partitionBy(cap_by, "retained").orderBy("batch_no", key))
         out = out.withColumn("retained", F.col("retained") & (at <= cap))
     return out
+
+
+def merge_supplement(original: DataFrame, supplement: DataFrame, key: str = "url_clean", group: str = "registered_domain", cap: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(merged rows, provenance of url_sha256, batch and retained); the original wins.
+
+    Errors: different columns, a group that both batches have, more than ``cap`` retained rows of a group.
+    """
+    if original.dtypes != supplement.dtypes:
+        raise ValueError("the batches have different columns")
+    if original.select(group).distinct().join(supplement.select(group), group, "left_semi").head(1):
+        raise ValueError("a group occurs in both batches")
+    marked = first_wins([original, supplement], ["original", "supplement"], key)
+    merged = marked.filter("retained")
+    if merged.groupBy(group).count().filter(F.col("count") > cap).head(1):
+        raise ValueError(f"a group has more than {cap} rows")
+    return merged.select(*original.columns), marked.select(F.sha2(key, 256).alias("url_sha256"), "batch", "retained")
+
+
+def rejected(rows: DataFrame) -> DataFrame:
+    """(source, row_number, url_raw, reason) of all rows that are not in the dataset."""
+    return rows.filter("reason IS NOT NULL").select("source", "row_number", "url_raw", "reason")
+
+
+def write_outputs(rows: DataFrame, folder: str, target: int, seed: int) -> dict:
+    """Balanced dispositions as five CSV tables and a manifest below ``folder``, which must not exist.
+
+    urls (sorted by label and URL), cleaning_summary, source_summary, rejected_records, conflicting_labels. The
+    manifest adds dataset_sha256 of the written dataset's bytes in file order, and is returned.
+    """
+    spark = rows.sparkSession
+    dataset = rows.filter("selected").select(*DATASET).orderBy("label", "url_clean")
+    tables = {"urls": dataset, "cleaning_summary": cleaning_summary(rows).orderBy("source"), "source_summary": source_summary(rows).orderBy("source", "label")}
+    tables |= {"rejected_records": rejected(rows).orderBy("source", "row_number"), "conflicting_labels": conflicts(rows).orderBy("url_clean")}
+    for name, table in tables.items():
+        write_csv(table, f"{folder}/{name}", one_file=name != "urls")
+    digest = hashlib.sha256()
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{folder}/urls").orderBy("path")
+    for r in files.select("content").toLocalIterator():
+        digest.update(r.content)
+    manifest = sampling_manifest(rows, target, seed) | {"dataset_sha256": digest.hexdigest()}
+    spark.createDataFrame([(json.dumps(manifest, indent=2, sort_keys=True),)], "value string").coalesce(1).write.text(f"{folder}/sampling_manifest")
+    return manifest
+
+
+def read_table(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A written table again, with its types."""
+    return spark.read.schema(schema).csv(f"{folder}/{name}", header=True, escape='"', multiLine=True, enforceSchema=False)

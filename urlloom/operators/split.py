@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlloom.functions.seeds import unit
+from urlloom.operators.draws import DIGITS, take_smallest
+
 TRIALS = 500
 TEST, VALIDATION = 0.15, 0.15 / 0.85
 
@@ -15,41 +18,52 @@ def group_stats(df: DataFrame, group: str, label: str) -> DataFrame:
 
 
 def choose_groups(df: DataFrame, fraction: float, seed: int, *, group: str = "domain_group", label: str = "label", trials: int = TRIALS) -> list[str]:
-    """Parity mode: group statistics come to the driver (one row a group), which searches permutations.
+    """Parity mode: draws orders of the sorted group names with numpy's generator.
+
+    A draw stands for its shortest prefix that holds the fraction of all rows; its distance is how far
+    the prefix is from the fraction plus how far its rate of positives is from that of all
+    rows. The first draw with the least distance wins. Size and positives of every group (about 100 bytes
+    each) come to the driver, so this mode is for up to some ten million groups.
+    """
+    found = group_stats(df, group, label).orderBy("grp").toArrow()
+    size, positive = (found[c].to_numpy().astype(np.int64) for c in ("size", "positives"))
+    rows, rng = size.sum(), np.random.default_rng(seed)
+
+    def prefix(order: np.ndarray) -> np.ndarray:
+        return order[: 1 + np.count_nonzero(size[order].cumsum() < rows * fraction)]
+
+    def distance(part: np.ndarray) -> float:
+        held = size[part].sum()
+        return abs(held / rows - fraction) + abs(positive[part].sum() / held - positive.sum() / rows)
+
+    best = min((prefix(rng.permutation(len(size))) for _ in range(trials)), key=distance)
+    return found["grp"].take(best).to_pylist()
 
-    Each trial takes the shortest prefix of a permutation of the sorted names that reaches the
-    fraction; the first trial with the least |share - fraction| + |rate - overall rate| wins.
+
+def choose_groups_by_hash(df: DataFrame, fraction: float, seed: int, *, group: str = "domain_group", label: str = "label", trials: int = TRIALS) -> DataFrame:
+    """Scale mode: the same search as one plan; trial t orders groups by a hash of seed, t and name. Returns (grp).
+
+    Sizes are summed by trial and first hex digits of the hash, on the map side; a prefix sum over these buckets
+    finds the one in which a trial reaches the fraction, and only its groups are sorted.
     """
-    stats = sorted(group_stats(df, group, label).collect(), key=lambda r: r.grp)
-    sizes = np.array([r["size"] for r in stats], np.int64)
-    positives = np.array([r["positives"] for r in stats], np.int64)
-    n, rate = int(sizes.sum()), positives.sum() / sizes.sum()
-    rng, best = np.random.default_rng(seed), (np.inf, None)
-    for _ in range(trials):
-        order = rng.permutation(len(sizes))
-        reached = np.cumsum(sizes[order])
-        taken = order[: int(np.searchsorted(reached, n * fraction)) + 1]
-        count = int(sizes[taken].sum())
-        off = abs(count / n - fraction) + abs(positives[taken].sum() / count - rate)
-        if off < best[0]:
-            best = off, taken
-    return [stats[i].grp for i in best[1]]
-
-
-def choose_groups_by_hash(df: DataFrame, fraction: float, seed: int, *, group: str = "domain_group", label: str = "label", trials: int = 20) -> DataFrame:
-    """Scale mode: the same search as one plan; trial t orders groups by a hash of seed, t and name. Returns (grp)."""
     stats = group_stats(df, group, label)
-    total = stats.agg(F.sum("size").alias("n"), (F.sum("positives") / F.sum("size")).alias("rate"))
-    every = stats.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))))
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.col("grp")))
-    w = Window.partitionBy("trial").orderBy(order, "grp").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = every.withColumn("reached", F.sum("size").over(w)).join(F.broadcast(total))
-    taken = summed.filter(F.col("reached") - F.col("size") < F.col("n") * fraction)
-    scores = taken.groupBy("trial").agg(
-        (F.abs(F.sum("size") / F.first("n") - fraction) + F.abs(F.sum("positives") / F.sum("size") - F.first("rate"))).alias("off")
+    total = F.broadcast(stats.agg(F.sum("size").alias("n"), (F.sum("positives") / F.sum("size")).alias("rate")))
+    hashed = lambda x: x.withColumn("at", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("trial").cast("string"), F.col("grp")))).withColumn("bucket", F.substring("at", 1, DIGITS))
+    every = hashed(stats.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))))
+    sums = every.groupBy("trial", "bucket").agg(F.sum("size").alias("b_size"), F.sum("positives").alias("b_positives"))
+    earlier = Window.partitionBy("trial").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before")
+    placed = sums.select("trial", "bucket", "b_size", before("b_size"), before("b_positives")).join(total)
+    wanted = F.col("n") * fraction
+    crossing = placed.filter((F.col("b_size_before") < wanted) & (F.col("b_size_before") + F.col("b_size") >= wanted)).drop("b_size")
+    w = Window.partitionBy("trial").orderBy("at", "grp").rowsBetween(Window.unboundedPreceding, -1)
+    inside = every.join(F.broadcast(crossing), ["trial", "bucket"]).withColumn("reached", F.col("b_size_before") + F.coalesce(F.sum("size").over(w), F.lit(0)))
+    taken = inside.filter(F.col("reached") < wanted).groupBy("trial").agg(
+        (F.first("b_size_before") + F.sum("size")).alias("held"), (F.first("b_positives_before") + F.sum("positives")).alias("positive"), F.first("n").alias("n"), F.first("rate").alias("rate"), F.max(F.struct("at", "grp")).alias("last")
     )
-    best = scores.agg(F.min_by("trial", F.struct(F.round("off", 12), "trial")).alias("trial"))
-    return taken.join(F.broadcast(best), "trial", "left_semi").select("grp")
+    off = F.abs(F.col("held") / F.col("n") - fraction) + F.abs(F.col("positive") / F.col("held") - F.col("rate"))
+    best = taken.agg(F.min_by(F.struct("trial", "last"), F.struct(F.round(off, 12), "trial")).alias("b")).select("b.trial", "b.last")
+    return hashed(stats.join(F.broadcast(best))).filter(F.struct("at", "grp") <= F.col("last")).select("grp")
 
 
 def make_split(df: DataFrame, test_seed: int, dev_seed: int, *, group: str = "domain_group", label: str = "label", mode: str = "parity") -> DataFrame:
@@ -69,16 +83,40 @@ def make_split(df: DataFrame, test_seed: int, dev_seed: int, *, group: str = "do
 
 
 def random_split(df: DataFrame, seed: int, key: str = "url_clean", label: str = "label") -> DataFrame:
-    """Stratified by label, not by group: for comparison only."""
-    n = Window.partitionBy(label)
-    at = F.row_number().over(n.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), key), 256), key)) / F.count(F.lit(1)).over(n)
-    return df.withColumn("split", F.when(at <= TEST, "test").when(at <= 2 * TEST, "validation").otherwise("train"))
+    """``df`` with its train and validation rows dealt anew, stratified by label and not by group; test rows stay as they are."""
+    development = df.filter("split <> 'test'")
+    limits = development.groupBy(label).agg(F.round(F.count(F.lit(1)) * VALIDATION).cast("int").alias("k"))
+    validation = take_smallest(development, [label], unit(seed, F.col(key)), [key], limits).select(key, F.lit(True).alias("_validation"))
+    dealt = df.join(validation.distinct(), key, "left")
+    split = F.when(F.col("split") == "test", "test").when(F.col("_validation"), "validation").otherwise("train")
+    return dealt.withColumn("split", split).select(*df.columns)
+
+
+def compare_splits(df: DataFrame, seed: int, group: str = "domain_group", key: str = "url_clean", label: str = "label") -> DataFrame:
+    """(split_strategy, train_rows, validation_rows, train_domains, validation_domains, domain_overlap_count) of the given split and a random one."""
+    out = None
+    for name, rows in (("grouped", df), ("random_url", random_split(df, seed, key, label))):
+        by_group = rows.filter("split <> 'test'").groupBy(group).agg(F.count_if(F.col("split") == "train").alias("t"), F.count_if(F.col("split") == "validation").alias("v"))
+        one = by_group.agg(
+            F.sum("t").alias("train_rows"), F.sum("v").alias("validation_rows"), F.count_if(F.col("t") > 0).alias("train_domains"), F.count_if(F.col("v") > 0).alias("validation_domains"),
+            F.count_if((F.col("t") > 0) & (F.col("v") > 0)).alias("domain_overlap_count"),
+        ).select(F.lit(name).alias("split_strategy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def with_manifest(df: DataFrame, manifest: DataFrame, key: str = "sample_id") -> DataFrame:
+    """``df`` with the split that a manifest (key, split) gives each row; an error unless they match one to one."""
+    both = df.select(key).withColumn("a", F.lit(1)).unionByName(manifest.select(key).withColumn("a", F.lit(-1)))
+    if both.groupBy(key).agg(F.sum("a").alias("s"), F.count(F.lit(1)).alias("n")).filter("s <> 0 OR n <> 2").head(1):
+        raise ValueError("the manifest and the table don't match one to one")
+    return df.drop("split").join(manifest.select(key, "split"), key)
 
 
 def split_summary(df: DataFrame, group: str = "domain_group", label: str = "label") -> DataFrame:
     total = df.agg(F.count(F.lit(1)).alias("all_rows"))
     made = df.groupBy("split").agg(F.count(F.lit(1)).alias("samples"), F.sum(label).alias("phishing"), F.count_distinct(group).alias("domains"))
-    return made.join(F.broadcast(total)).select("split", "samples", "phishing", "domains", (F.col("samples") - F.col("phishing")).alias("legitimate"), F.round(F.col("samples") / F.col("all_rows"), 6).alias("fraction"))
+    return made.join(F.broadcast(total)).select("split", "samples", "phishing", "domains", (F.col("samples") - F.col("phishing")).alias("legitimate"), (F.col("samples") / F.col("all_rows")).alias("fraction"))
 
 
 def leakage(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -114,7 +152,7 @@ def confusion(df: DataFrame, keys: list[str], score: str = "score", label: str =
     made = df.groupBy(*keys).agg(
         F.count_if(~hit & ~pos).alias("tn"), F.count_if(hit & ~pos).alias("fp"), F.count_if(~hit & pos).alias("fn"), F.count_if(hit & pos).alias("tp")
     )
-    rate = lambda a, b: F.round(F.try_divide(F.expr(a), F.expr(b)), 6)
+    rate = lambda a, b: F.try_divide(F.expr(a), F.expr(b))
     return made.select(
         *keys, "tn", "fp", "fn", "tp",
         rate("tp + tn", "tn + fp + fn + tp").alias("accuracy"),
@@ -136,26 +174,48 @@ def ranking_metrics(df: DataFrame, keys: list[str], score: str = "score", label:
     sums = run.groupBy(*keys).agg(
         F.sum("p").alias("np"), F.sum("n").alias("nn"), F.sum(F.col("n") * (F.col("tp") - F.col("p") / 2)).alias("wins"), F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("steps")
     )
-    return sums.select(*keys, F.round(F.try_divide("wins", F.col("np") * F.col("nn")), 6).alias("roc_auc"), F.round(F.try_divide("steps", "np"), 6).alias("average_precision"))
+    return sums.select(*keys, F.try_divide("wins", F.col("np") * F.col("nn")).alias("roc_auc"), F.try_divide("steps", "np").alias("average_precision"))
 
 
 def seed_summary(metrics: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Mean, sample deviation and extremes of metrics over seeds."""
     kinds = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    return metrics.groupBy(*keys).agg(*[F.round(f(n), 6).alias(f"{n}_{k}") for n in names for k, f in kinds.items()])
+    return metrics.groupBy(*keys).agg(*[f(n).alias(f"{n}_{k}") for n in names for k, f in kinds.items()])
+
+
+def _wrong(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
+    return df.filter((F.col(score) >= threshold) != (F.col(label) == 1))
 
 
 def top_errors(df: DataFrame, keys: list[str], k: int = 5, score: str = "score", label: str = "label", ident: str = "sample_id", threshold: float = 0.5) -> DataFrame:
-    """The k worst errors of each group: those whose score is farthest on the wrong side."""
-    wrong = df.filter((F.col(score) >= threshold) != (F.col(label) == 1)).withColumn("margin", F.abs(F.col(score) - F.col(label)))
-    return wrong.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("margin"), ident))).filter(F.col("position") <= k)
+    """The k errors of each group with the smallest score, numbered by ``position``."""
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(score, ident))
+    return _wrong(df, score, label, threshold).withColumn("position", at).filter(F.col("position") <= k)
+
+
+def errors_by_group(df: DataFrame, keys: list[str], group: str = "domain_group", score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
+    """Number of errors by keys, label and group, most first."""
+    made = _wrong(df, score, label, threshold).groupBy(*keys, label, group).agg(F.count(F.lit(1)).alias("error_count"))
+    return made.orderBy(F.desc("error_count"), *keys, label, group)
+
+
+def top_importances(importances: DataFrame, k: int = 5, by: str = "model") -> DataFrame:
+    """The k features of each model that matter most, with ``position``."""
+    at = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("importance"), "feature"))
+    return importances.withColumn("position", at).filter(F.col("position") <= k)
+
+
+def with_url_flags(predictions: DataFrame, urls: DataFrame, key: str = "sample_id") -> DataFrame:
+    """Predictions with uses_https, has_query and inner_page of their URL (key, scheme, path, query), which stay null if it is unknown."""
+    flags = urls.select(key, (F.col("scheme") == "https").alias("uses_https"), (F.col("query") != "").alias("has_query"), (~F.col("path").isin("", "/")).alias("inner_page"))
+    return predictions.join(flags, key, "left")
 
 
 def error_strata(df: DataFrame, flags: list[str], keys: list[str], score: str = "score", label: str = "label", threshold: float = 0.5) -> DataFrame:
     rows = df.withColumn("error", ((F.col(score) >= threshold) != (F.col(label) == 1)).cast("int"))
     long = rows.select(*keys, "error", *[F.col(f).cast("int").alias(f) for f in flags]).unpivot([*keys, "error"], flags, "flag", "flag_value")
     made = long.groupBy(*keys, "flag", "flag_value").agg(F.count(F.lit(1)).alias("rows"), F.sum("error").alias("errors"))
-    return made.withColumn("error_rate", F.round(F.col("errors") / F.col("rows"), 6))
+    return made.withColumn("error_rate", F.col("errors") / F.col("rows"))
 
 
 def replay(new: DataFrame, old: DataFrame, keys: list[str], names: list[str], rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlloom.functions import features, seeds, urls
-from urlloom.operators import analysis, modelling, observations, pages, prepare, split
+from urlloom.operators import analysis, draws, modelling, observations, pages, prepare, split
 from urlloom.plans import sql
 from urlloom.streaming.feeds import window_counts
 
@@ -14,9 +16,16 @@ QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles, alone and in arrays, to a few digits: sums of them depend on the order of rows."""
+    kinds = dict(df.dtypes)
+    shorter = {"double": lambda c: F.round(f"`{c}`", digits), "array<double>": lambda c: F.transform(f"`{c}`", lambda x: F.round(x, digits))}
+    return df.select(*[shorter[kinds[c]](c).alias(c) if kinds[c] in shorter else F.col(f"`{c}`") for c in df.columns])
+
+
 def query(sql_text: str | None = None):
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = wraps(f)(lambda spark, sf_dir: rounded(f(spark, sf_dir)))
         if sql_text:
             ORACLE_SQL[f.__name__] = sql_text
         return f
@@ -231,7 +240,7 @@ def _order_groups(spark, sf_dir):
 def _search(rows: str, fraction: float, seed: int) -> str:
     return f"""(
   WITH s AS (SELECT grp, count(*) AS size, sum(label) AS positives FROM {rows} GROUP BY grp), total AS (SELECT sum(size) AS n, sum(positives) / sum(size) AS rate FROM s),
-  c AS (SELECT trial, grp, size, positives, sum(size) OVER (PARTITION BY trial ORDER BY md5('{seed}:' || trial || ':' || grp), grp ROWS UNBOUNDED PRECEDING) AS reached FROM s, range(20) t(trial)),
+  c AS (SELECT trial, grp, size, positives, sum(size) OVER (PARTITION BY trial ORDER BY md5('{seed}:' || trial || ':' || grp), grp ROWS UNBOUNDED PRECEDING) AS reached FROM s, range({split.TRIALS}) t(trial)),
   k AS (SELECT c.*, n, rate FROM c, total WHERE reached - size < n * {fraction}::DOUBLE),
   b AS (SELECT trial, abs(sum(size) / any_value(n) - {fraction}::DOUBLE) + abs(sum(positives) / sum(size) - any_value(rate)) AS miss FROM k GROUP BY trial)
   SELECT grp FROM k WHERE trial = (SELECT trial FROM b ORDER BY round(miss, 12), trial LIMIT 1))"""
@@ -303,18 +312,18 @@ def q27_average_precision(spark, sf_dir):
 _BY_SEED = _confusion_sql("model, seed")
 
 
-@query(f"SELECT model, round(avg(f1), 6) AS f1_mean, round(stddev_samp(f1), 6) AS f1_std, round(min(f1), 6) AS f1_min, round(max(f1), 6) AS f1_max FROM {_BY_SEED} GROUP BY model")
+@query(f"SELECT model, round(avg(f), 6) AS f1_mean, round(stddev_samp(f), 6) AS f1_std, round(min(f), 6) AS f1_min, round(max(f), 6) AS f1_max FROM (SELECT model, 2 * tp / (2 * tp + fp + fn) AS f FROM {_BY_SEED}) GROUP BY model")
 def q28_seed_summary(spark, sf_dir):
     return split.seed_summary(split.confusion(_scored(spark, sf_dir), ["model", "seed"]), ["model"], ["f1"])
 
 
-@query(f"SELECT 'all' AS feature_set, a.seed, a.model, round(a.f1 - b.f1, 6) AS difference FROM {_BY_SEED} a JOIN {_BY_SEED} b ON a.seed = b.seed AND b.model = 'length' AND a.model <> 'length'")
+@query(f"SELECT 'all' AS feature_set, a.seed, a.model, round(2 * a.tp / (2 * a.tp + a.fp + a.fn) - 2 * b.tp / (2 * b.tp + b.fp + b.fn), 6) AS difference FROM {_BY_SEED} a JOIN {_BY_SEED} b ON a.seed = b.seed AND b.model = 'length' AND a.model <> 'length'")
 def q29_paired_difference(spark, sf_dir):
     made = split.confusion(_scored(spark, sf_dir), ["model", "seed"]).withColumn("feature_set", F.lit("all"))
     return modelling.paired_difference(made, "length")
 
 
-@query(f"""SELECT model, label, doc_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY model, label ORDER BY abs(score - label) DESC, doc_id)::INTEGER AS position
+@query(f"""SELECT model, label, doc_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY model, label ORDER BY score, doc_id)::INTEGER AS position
 FROM {_SCORED} WHERE (score >= 0.5) <> (label = 1)) WHERE position <= 5""")
 def q30_top_errors(spark, sf_dir):
     return split.top_errors(_scored(spark, sf_dir), ["model", "label"], ident="doc_id").select("model", "label", "doc_id", "score", "position")
@@ -336,18 +345,26 @@ def q32_failure_categories(spark, sf_dir):
     return analysis.failure_summary(_values(spark, f"{_FAILED} AS f(stage, reason)"))
 
 
-@query(f"""SELECT count(*) AS urls, count(DISTINCT host) AS domains, round(avg((path NOT IN ('', '/'))::INT), 6) AS inner_rate,
-  CASE WHEN count(*) >= 2000 AND count(DISTINCT host) >= 300 AND avg((path NOT IN ('', '/'))::INT) >= 0.2 THEN 'suitable' ELSE 'unsuitable' END AS decision FROM {sql.LABELLED}""")
+def _gate_sql(urls_: int, domains: int) -> str:
+    return f"""SELECT {urls_} AS min_urls, *, list_filter([CASE WHEN urls < {urls_} THEN 'too_few_urls' END, CASE WHEN domains < {domains} THEN 'too_few_domains' END, CASE WHEN inner_page_rate < 0.2 THEN 'inner_page_rate' END], lambda x: x IS NOT NULL) AS reasons,
+  CASE WHEN urls >= {urls_} AND domains >= {domains} AND inner_page_rate >= 0.2 THEN 'suitable_for_bounded_baseline_with_caveats' ELSE 'unsuitable' END AS decision FROM (
+  SELECT count(*) AS urls, count(DISTINCT host) AS domains, count(DISTINCT registered_domain) AS candidate_domains_with_evidence, round(avg((scheme = 'https')::INT), 6) AS https_rate, round(avg((path NOT IN ('', '/'))::INT), 6) AS inner_page_rate,
+    round(avg((query <> '')::INT), 6) AS query_rate, count(url_clean) - count(DISTINCT url_clean) AS normalized_duplicates, (SELECT count(*) FROM {sql.FEED_DUCK} WHERE error IS NOT NULL) AS failures FROM {sql.LABELLED})"""
+
+
+@query(f"{_gate_sql(2000, 300)} UNION ALL {_gate_sql(20, 2)}")
 def q33_suitability(spark, sf_dir):
-    return analysis.suitability(_labelled(spark, sf_dir))
+    rows, failures = _labelled(spark, sf_dir).withColumn("candidate_domain", F.col("registered_domain")), _feed(spark, sf_dir).filter("error IS NOT NULL")
+    made = [analysis.suitability(rows, failures, urls=u, domains=d).select(F.lit(u).alias("min_urls"), "*") for u, d in ((2000, 300), (20, 2))]
+    return made[0].unionByName(made[1])
 
 
-@query("""SELECT s_nationkey AS grp, s_suppkey AS best FROM (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS r FROM supplier
-  WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 50 = 1)) WHERE r = 1""")
+@query("""SELECT registered_domain, rank, domain FROM (SELECT s_nationkey::VARCHAR AS registered_domain, s_suppkey AS rank, s_name AS domain, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey, s_name) AS r FROM supplier
+  WHERE s_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9000)) WHERE r = 1""")
 def q34_best_candidate(spark, sf_dir):
-    taken = _t(spark, sf_dir, "customer").filter("c_custkey % 50 = 1").select(F.col("c_nationkey").alias("s_nationkey"))
-    left = _t(spark, sf_dir, "supplier").join(taken, "s_nationkey", "left_anti")
-    return left.groupBy(F.col("s_nationkey").alias("grp")).agg(F.min_by("s_suppkey", F.struct(-F.col("s_acctbal"), "s_suppkey")).alias("best"))
+    taken = _t(spark, sf_dir, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").cast("string").alias("registered_domain"))
+    rows = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("registered_domain"), F.col("s_suppkey").alias("rank"), F.col("s_name").alias("domain"))
+    return draws.best_ranks(rows, taken)
 
 
 @query(f"""WITH u AS (SELECT url_clean, registered_domain, source, row_number, CASE source WHEN 'phishtank' THEN 0 ELSE 1 END AS batch_no FROM {sql.DISPOSITIONS} WHERE url_clean IS NOT NULL AND source <> 'openphish'),
@@ -363,12 +380,13 @@ def q35_merge_provenance(spark, sf_dir):
 _KEYS = "('https://a.example.com/?token=1'), ('https://a.example.com/?x=1&my%54oken=2'), ('https://a.example.com/?session_ref=1'), ('https://a.example.com/?q=auth'), ('https://a.example.com/?code'), ('https://u@a.example.com/?x=1'), ('https://b.example.org/'), ('http://a.example.com/p?x=%zz')"
 
 
-@query(f"""WITH c AS {sql.clean(f"(SELECT * FROM (VALUES {_KEYS}) v(url_raw))")}, k AS (SELECT *, list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''),
+@query(f"""WITH c AS {sql.clean(f"(SELECT * FROM (VALUES {_KEYS}) v(url_raw) UNION ALL SELECT url FROM pages)")}, k AS (SELECT *, list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''),
   lambda x: lower(CASE WHEN regexp_matches(x, '%([^0-9A-Fa-f]|.[^0-9A-Fa-f])') THEN split_part(x, '=', 1) ELSE url_decode(split_part(x, '=', 1)) END)) AS keys FROM c)
 SELECT url_raw, CASE WHEN regexp_matches(userinfo, '[^:]') THEN 'credentials_in_url' WHEN registered_domain <> 'example.com' THEN 'cross_domain'
   WHEN len(list_filter(keys, lambda x: list_contains({urls.TOKEN_KEYS}, x) OR regexp_matches(x, 'token|session|auth'))) > 0 THEN 'sensitive_query_key' END AS decision FROM k""")
 def q36_page_policy(spark, sf_dir):
-    rows = urls.with_clean_urls(_values(spark, f"{_KEYS} AS v(url_raw)")).withColumn("domain_group", F.lit("example.com"))
+    given = _values(spark, f"{_KEYS} AS v(url_raw)").unionByName(_t(spark, sf_dir, "pages").select(F.col("url").alias("url_raw")))
+    rows = urls.with_clean_urls(given).withColumn("domain_group", F.lit("example.com"))
     return urls.page_policy(rows).select("url_raw", "decision")
 
 
@@ -442,20 +460,12 @@ def q45_standardisation(spark, sf_dir):
     return made.select("page_id", *[F.round(c, 6).alias(c) for c in ("url_length", "dot_count")])
 
 
-_SMALL_GRID = {
-    "logistic_regression": {"C": [1.0]},
-    "decision_tree": {"max_depth": [3], "min_samples_leaf": [2]},
-    "random_forest": {"max_depth": [5], "n_estimators": [10]},
-    "gradient_boosting": {"learning_rate": [0.1], "n_estimators": [5], "max_depth": [3]},
-}
-
-
 @query()
 def q46_classifiers(spark, sf_dir):
-    rows = features.with_features(_labelled(spark, sf_dir), "expanded21").select("page_id", "label", *features.resolve("structure_only"))
+    rows = features.with_features(_labelled(spark, sf_dir), "expanded21").select("page_id", "label", *features.resolve("structure_only")).persist()
     parts = None
-    for family in _SMALL_GRID:
-        p = modelling.parameters(family, _SMALL_GRID)[0]
+    for family in modelling.GRIDS:
+        p = modelling.parameters(family)[0]
         scored = modelling.Fitted(rows, features.resolve("structure_only"), family, p, 1).score(rows).withColumn("model", F.lit(family))
         parts = scored if parts is None else parts.unionByName(scored)
     return parts.select("page_id", "model", "label", F.round("score", 4).alias("score"))
@@ -504,14 +514,106 @@ def q52_class_gate(spark, sf_dir):
     return analysis.class_gate(_labelled(spark, sf_dir))
 
 
-@query(f"""SELECT 'overview' AS section, 'rows' AS key, count(*)::VARCHAR AS value FROM {sql.LABELLED} UNION ALL SELECT 'overview', 'groups', count(DISTINCT host)::VARCHAR FROM {sql.LABELLED}
-UNION ALL SELECT 'overview', 'positives', count(*) FILTER (label = 1)::VARCHAR FROM {sql.LABELLED} UNION ALL SELECT 'overview', 'invalid', count(*) FILTER (url_clean IS NULL)::VARCHAR FROM {sql.LABELLED}
-UNION ALL SELECT 'source', source, count(*)::VARCHAR FROM {sql.LABELLED} GROUP BY source""")
+_CELLS = {"source_x_label": "count(*)", "https_rate": "round(avg((scheme = 'https')::INT), 6)", "root_path_rate": "round(avg((path IN ('', '/'))::INT), 6)", "query_rate": "round(avg((query <> '')::INT), 6)"}
+_UNIQUE = f"(UNPIVOT (SELECT {', '.join(f'{n}::DOUBLE AS {n}' for n in features.BASELINE)} FROM (SELECT *, {sql.FEATURES} FROM {sql.LABELLED})) ON {', '.join(features.BASELINE)} INTO NAME feature VALUE value)"
+
+
+@query(f"""SELECT 'label' AS section, label::VARCHAR AS key, count(*)::VARCHAR AS value FROM {sql.LABELLED} GROUP BY label
+{' '.join(f"UNION ALL SELECT '{section}', source || '|' || label, ({value})::VARCHAR FROM {sql.LABELLED} GROUP BY source, label" for section, value in _CELLS.items())}
+UNION ALL SELECT 'quality', 'rows', count(*)::VARCHAR FROM {sql.LABELLED} UNION ALL SELECT 'quality', 'exact_duplicate_raw', (count(*) - count(DISTINCT url_raw))::VARCHAR FROM {sql.LABELLED}
+UNION ALL SELECT 'quality', 'normalized_duplicate', (count(*) - count(DISTINCT url_clean))::VARCHAR FROM {sql.LABELLED}
+UNION ALL SELECT 'quality', 'conflicting_normalized_labels', count(*)::VARCHAR FROM (SELECT url_clean FROM {sql.LABELLED} GROUP BY url_clean HAVING min(label) <> max(label))
+UNION ALL SELECT 'quality', 'missing_domain', count(*) FILTER (host = '')::VARCHAR FROM {sql.LABELLED}
+UNION ALL SELECT 'feature_unique', feature, count(DISTINCT value)::VARCHAR FROM {_UNIQUE} GROUP BY feature
+UNION ALL SELECT section, feature, '0' FROM (SELECT DISTINCT feature FROM {_UNIQUE}), (VALUES ('feature_missing'), ('feature_infinite')) v(section)""")
 def q53_dataset_audit(spark, sf_dir):
-    return analysis.dataset_audit(_labelled(spark, sf_dir))
+    return analysis.dataset_audit(features.with_features(_labelled(spark, sf_dir)))
 
 
 @query(f"SELECT page_id, 'hxxp' || scheme[5:] || '://' || replace(registered_domain, '.', '[.]') AS defanged, scheme = 'https' AS https, path IN ('', '/') AS root, query <> '' AS has_query FROM {sql.PAGES}")
 def q54_flags(spark, sf_dir):
     rows = _clean_pages(spark, sf_dir)
     return rows.select("page_id", urls.defanged(F.col("scheme"), F.col("registered_domain")).alias("defanged"), (F.col("scheme") == "https").alias("https"), F.col("path").isin("", "/").alias("root"), (F.col("query") != "").alias("has_query"))
+
+
+@query(f"""SELECT source AS observed_from, count(url_clean) AS url_count, count(DISTINCT host) AS domain_count, round(avg((scheme = 'https')::INT), 6) AS https_rate, round(avg((path NOT IN ('', '/'))::INT), 6) AS inner_page_rate,
+  round(avg((query <> '')::INT), 6) AS query_rate FROM {sql.LABELLED} GROUP BY source""")
+def q55_structure_summary(spark, sf_dir):
+    return analysis.structure_summary(_labelled(spark, sf_dir).withColumnRenamed("source", "observed_from"))
+
+
+@query(f"SELECT model, label, lang, count(*) AS error_count FROM (SELECT s.*, d.lang FROM {_SCORED} s JOIN documents d ON s.doc_id = d.doc_id) WHERE (score >= 0.5) <> (label = 1) GROUP BY ALL")
+def q56_errors_by_group(spark, sf_dir):
+    rows = _scored(spark, sf_dir).join(_t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return split.errors_by_group(rows, ["model"], "lang")
+
+
+_HASH = "sha256('{seed}|{tag}|' || {column})"
+
+
+@query(f"""SELECT registered_domain, url_clean, page_id FROM (SELECT *, row_number() OVER (ORDER BY {_HASH.format(seed=5, tag='group', column='registered_domain')}) AS g FROM (
+  SELECT host AS registered_domain, url_clean, page_id, row_number() OVER (PARTITION BY host ORDER BY {_HASH.format(seed=5, tag='url', column='url_clean')}, url_clean, page_id) AS r FROM {sql.PAGES} WHERE reason IS NULL) WHERE r = 1) WHERE g <= 2""")
+def q57_group_candidates(spark, sf_dir):
+    rows = _clean_pages(spark, sf_dir).filter("reason IS NULL").select(F.col("host").alias("registered_domain"), "url_clean", "page_id")
+    first = rows.groupBy("registered_domain", "url_clean").agg(F.min("page_id").alias("page_id"))
+    return draws.group_candidates(first, 2, 5)
+
+
+@query(f"SELECT DISTINCT url_clean FROM {sql.CLEAN_FEED} c WHERE source = 'tranco' AND url_clean IS NOT NULL AND url_clean NOT IN (SELECT url_clean FROM {sql.CLEAN_FEED} WHERE source <> 'tranco' AND url_clean IS NOT NULL)")
+def q58_controls_without_conflicts(spark, sf_dir):
+    rows = urls.with_clean_urls(_feed(spark, sf_dir)).filter("url_clean IS NOT NULL")
+    return draws.without_conflicts(rows.filter("source = 'tranco'").select("url_clean").distinct(), rows.filter("source <> 'tranco'"))
+
+
+@query("SELECT rank, domain FROM (SELECT c_custkey AS rank, c_name AS domain, row_number() OVER (ORDER BY sha256('9|' || c_custkey || '|' || c_name), c_custkey) AS r FROM customer WHERE c_custkey BETWEEN 11 AND 100) WHERE r <= 30")
+def q59_ranked_sample(spark, sf_dir):
+    return draws.ranked_sample(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rank"), F.col("c_name").alias("domain")), 11, 100, 30, 9)
+
+
+_STRATIFIED = f"""(SELECT o.*, CASE WHEN split = 'test' THEN 'test' WHEN r <= k THEN 'validation' ELSE 'train' END AS dealt FROM (
+  SELECT a.*, row_number() OVER (PARTITION BY label, split = 'test' ORDER BY sha256('3|' || o_orderkey), o_orderkey) AS r, round(count(*) OVER (PARTITION BY label, split = 'test') * {split.VALIDATION}::DOUBLE) AS k FROM {_ASSIGNED} a) o)"""
+
+
+@query(f"""{_SPLITS}, g AS (SELECT grp, 'grouped' AS split_strategy, split AS s FROM {_STRATIFIED} UNION ALL SELECT grp, 'random_url', dealt FROM {_STRATIFIED}),
+h AS (SELECT split_strategy, grp, count(*) FILTER (s = 'train') AS t, count(*) FILTER (s = 'validation') AS v FROM g WHERE s <> 'test' GROUP BY ALL)
+SELECT split_strategy, sum(t)::BIGINT AS train_rows, sum(v)::BIGINT AS validation_rows, count(*) FILTER (t > 0) AS train_domains, count(*) FILTER (v > 0) AS validation_domains, count(*) FILTER (t > 0 AND v > 0) AS domain_overlap_count FROM h GROUP BY ALL""")
+def q60_split_strategies(spark, sf_dir):
+    rows = _split_orders(spark, sf_dir).withColumn("o_orderkey", F.col("o_orderkey").cast("string"))
+    return split.compare_splits(rows, 3, "grp", "o_orderkey")
+
+
+@query(f"""SELECT s.model, s.doc_id, d.lang = 'en' AS uses_https, d.source <> 'src0' AS has_query, d.source NOT IN ('src1', 'src2') AS inner_page FROM {_SCORED} s JOIN documents d ON s.doc_id = d.doc_id""")
+def q61_predictions_with_flags(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", "https").otherwise("http").alias("scheme"), F.when(F.col("source") != "src0", "q").otherwise("").alias("query"), F.when(F.col("source").isin("src1", "src2"), "/").otherwise("/x").alias("path"))
+    return split.with_url_flags(_scored(spark, sf_dir).select("model", "doc_id"), docs, "doc_id")
+
+
+@query(f"SELECT batch, retained, count(*) AS rows FROM (SELECT CASE WHEN source = 'src0' THEN 'original' ELSE 'supplement' END AS batch, row_number() OVER (PARTITION BY url_clean ORDER BY source <> 'src0') = 1 AS retained FROM {sql.LABELLED} WHERE source IN ('src0', 'src1')) GROUP BY ALL")
+def q62_supplement(spark, sf_dir):
+    rows = _labelled(spark, sf_dir).withColumn("registered_domain", F.concat("source", F.lit(":"), "page_id")).select("url_clean", "registered_domain", "page_id", "source")
+    _, provenance = prepare.merge_supplement(rows.filter("source = 'src0'"), rows.filter("source = 'src1'"))
+    return provenance.groupBy("batch", "retained").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("""SELECT page_id, page_id % 4 * 1.0::DOUBLE AS url_length, CASE WHEN page_id % 5 <> 0 THEN page_id * 0.5::DOUBLE END AS digit_ratio,
+  CASE WHEN page_id % 7 = 0 THEN 'unknown: colour' WHEN page_id % 5 = 0 THEN 'missing: digit_ratio' END AS problem FROM pages""")
+def q63_aligned_features(spark, sf_dir):
+    rows = _t(spark, sf_dir, "pages").selectExpr(
+        "page_id", "map_filter(map('url_length', cast(page_id % 4 as double), 'digit_ratio', if(page_id % 5 <> 0, page_id * 0.5d, NULL), 'colour', if(page_id % 7 = 0, 1d, NULL), 'dot_count', 1d), (k, v) -> v IS NOT NULL) AS features"
+    )
+    return features.aligned(rows, ["url_length", "digit_ratio"]).drop("features")
+
+
+@query(f"SELECT page_id, round(url_entropy, 6) AS url_entropy, registered_domain FROM {_FEATURED} WHERE uses_https = 1 AND dot_count > 1")
+def q64_sql_views(spark, sf_dir):
+    urls.register_views(_t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("url_raw")), clean="q64_clean", features="q64_features")
+    made = spark.sql("SELECT f.page_id, f.url_entropy, c.registered_domain FROM q64_features f JOIN q64_clean c ON f.page_id = c.page_id WHERE f.uses_https = 1 AND f.dot_count > 1")
+    for name in ("q64_clean", "q64_features"):
+        spark.catalog.dropTempView(name)
+    return made
+
+
+@query("""SELECT event_id, round((epoch(TIMESTAMP '2030-01-01') - epoch(date_trunc('second', ts))) / 3600.0::DOUBLE, 6) AS age_hours FROM events""")
+def q65_feed_age(spark, sf_dir):
+    rows = _t(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"))
+    return rows.select("event_id", observations.feed_age_hours(F.col("ts"), F.lit("2030-01-01T00:00:00")).alias("age_hours"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from urlloom.functions.seeds import draw_positions
 from urlloom.functions.urls import strip
 
 PARSED = "source string, label int, row_number bigint, url_raw string, error string"
@@ -24,18 +25,29 @@ def _parsed(df: DataFrame, source: str, label: int, url: Column, number: Column,
     )
 
 
+def numbered(rows: DataFrame, name: str = "number") -> DataFrame:
+    """Rows of a scan (and of narrow steps on it) with their number from 0, in file order.
+
+    Tasks count their rows, the counts (one a task) are summed up, and each task adds its start: two scans, no
+    shuffle of rows.
+    """
+    local = rows.withColumn("_task", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = local.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(F.col("_task").alias("_t"), F.coalesce(F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    return local.join(F.broadcast(starts), F.col("_task") == F.col("_t")).select(*rows.columns, (F.col("_start") + F.col("_at")).alias(name))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(number from 1, line) of a small text file, blank lines included, without byte-order mark."""
-    whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    body = F.regexp_replace("value", r"(\r\n|\n|\r)$", "")
-    return whole.filter("value <> ''").select(F.posexplode(F.split(body, r"\r\n|\n|\r", -1)).alias("at", "line")).select((F.col("at") + 1).alias("number"), "line")
+    """(number from 1, line) of a text file, blank lines included, without byte-order mark."""
+    lines = numbered(spark.read.text(path).select(F.col("value").alias("line")))
+    bare = F.when(F.col("number") == 0, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
+    return lines.select((F.col("number") + 1).alias("number"), bare.alias("line"))
 
 
 def numbered_csv(spark: SparkSession, path: str, columns: list[str], header: bool) -> DataFrame:
-    """Rows of a CSV file in file order with their number from 0."""
+    """Rows of a CSV file in file order with their number from 0; a file with quoted line breaks is one task's."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    read = spark.read.schema(schema).csv(path, header=header, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True)
-    return read.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])).toDF(f"{schema}, number bigint")
+    return numbered(spark.read.schema(schema).csv(path, header=header, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True))
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
@@ -57,8 +69,7 @@ def phishtank(spark: SparkSession, path: str) -> DataFrame:
         kept = whole.select(F.coalesce(F.try_variant_get("v", "$.data", "variant"), F.try_variant_get("v", "$.urls", "variant"), "v").alias("v"))
         if not kept.filter("schema_of_variant(v) LIKE 'ARRAY%'").head(1):
             raise ValueError("the JSON feed must be an array or hold one in data or urls")
-        kept.createOrReplaceTempView("_feed_json")
-        items = spark.sql("SELECT pos, value FROM _feed_json, LATERAL variant_explode(v)")
+        items = spark.sql("SELECT pos, value FROM {kept}, LATERAL variant_explode(v)", kept=kept)
         url = F.coalesce(F.try_variant_get("value", "$.url", "string"), F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string")))
         return _parsed(items, "phishtank", 1, url, F.col("pos") + 1)
     raise ValueError("the feed must be a .csv or .json file")
@@ -83,14 +94,21 @@ def read_feeds(spark: SparkSession, phishtank_path: str, openphish_path: str, tr
     return phishtank(spark, phishtank_path).unionByName(openphish(spark, openphish_path)).unionByName(tranco(spark, tranco_path))
 
 
-def ranked_candidates(spark: SparkSession, path: str, rank_min: int, rank_max: int, sample: int) -> DataFrame:
-    """(rank, domain) within a rank range; an error if there are fewer than the sample needs."""
-    lines = numbered_lines(spark, path).select(F.from_csv("line", F.lit("rank string, domain string")).alias("c")).select("c.*")
-    found = lines.filter(F.col("rank").rlike(r"^\d+$") & F.col("domain").isNotNull()).select(F.col("rank").cast("int").alias("rank"), F.lower(F.trim("domain")).alias("domain"))
+def ranked_candidates(spark: SparkSession, path: str, rank_min: int, rank_max: int, sample: int, seed: int | None = None) -> DataFrame:
+    """(rank, domain) within a rank range, all or those that the standard library's generator draws with ``seed``.
+
+    An error if there are fewer than the sample needs. Only positions reach the driver.
+    """
+    lines = spark.read.text(path).select(F.from_csv(F.regexp_replace("value", "^\ufeff", ""), F.lit("rank string, domain string")).alias("c")).select("c.*")
+    found = lines.filter(F.trim("rank").rlike(r"^\d+$") & F.col("domain").isNotNull()).select(F.trim("rank").cast("int").alias("rank"), F.lower(F.trim("domain")).alias("domain"))
     found = found.filter(F.col("rank").between(rank_min, rank_max))
-    if found.count() < sample:
+    n = found.count()
+    if n < sample:
         raise ValueError("fewer candidates in the range than the sample needs")
-    return found
+    if seed is None:
+        return found
+    drawn = spark.createDataFrame([(x,) for x in draw_positions(seed, n, sample)], "number bigint")
+    return numbered(found).join(F.broadcast(drawn), "number", "left_semi").drop("number")
 
 
 def pinned_json_array(spark: SparkSession, path: str, sha256: str, source: str, label: int) -> DataFrame:
@@ -123,9 +141,10 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("label", F.col("label").cast("int"))
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    """A folder with one CSV file with header; refuses to overwrite. Meant for reports."""
-    df.select(*(columns or df.columns)).coalesce(1).write.mode("errorifexists").csv(path, header=True, escape='"')
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, one_file: bool = True) -> None:
+    """A folder of CSV files with header, one for reports; refuses to overwrite."""
+    rows = df.select(*(columns or df.columns))
+    (rows.coalesce(1) if one_file else rows).write.mode("errorifexists").csv(path, header=True, escape='"')
 
 
 def checksum_manifest(spark: SparkSession, folder: str) -> DataFrame:
