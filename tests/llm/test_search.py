@@ -16,11 +16,11 @@ def vectors(spark, n=700, dim=8):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>")
 
 
-@pytest.mark.parametrize(("shard_rows", "query_block"), [(8192, 1024), (100, 3)])
-def test_exact_search_equals_brute_force(spark, shard_rows, query_block):
+@pytest.mark.parametrize(("shard_rows", "shard_bytes"), [(8192, 32 << 20), (100, 32 << 20), (8192, 4000)])
+def test_exact_search_equals_brute_force(spark, shard_rows, shard_bytes):
     rows, df = vectors(spark)
     got = {}
-    for r in vp.nearest(df.withColumn("rank", F.lit(1)), F.col("vec_id") % 50 == 0, shard_rows=shard_rows, query_block=query_block).collect():
+    for r in vp.nearest(df.withColumn("rank", F.lit(1)), F.col("vec_id") % 50 == 0, shard_rows=shard_rows, shard_bytes=shard_bytes).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     ok = {i: np.array(v) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     for q in ok:
@@ -41,6 +41,22 @@ def test_relaxed_search_keeps_recall(spark):
     assert hits / 250 >= 0.9
 
 
+def test_extreme_magnitudes_and_repeated_ids(spark):
+    rows = [(50, [2.0**-700, 2.0**-699]), (1, [2.0**1000, 2.0**1001]), (2, [2.0**-1060, 2.0**-1061]), (3, [1.0, 2.0]), (3, [2.0, 1.0]), (100, [1.0, 2.0]), (100, [2.0, 1.0])]
+    got = {}
+    for r in vp.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert sorted(got[50]) == [(1, 1, 1.0), (2, 3, 1.0), (3, 100, 1.0)]
+    assert sorted(got[100]) == [(1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (2, 3, 1.0), (3, 50, 1.0), (3, 100, 0.8)]
+
+
+@pytest.mark.parametrize("relax", [1.05, 1.15])
+def test_relaxed_recall_on_embeddings(spark, relax):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    found = [{(r.query_id, r.vec_id) for r in vp.nearest(vectors, F.col("vec_id") % 50 == 0, relax=x).collect()} for x in (1.0, relax)]
+    assert len(found[0] & found[1]) >= 0.9 * len(found[0])
+
+
 def test_no_vectors(spark):
     _, df = vectors(spark, 3)
     assert vp.nearest(df.filter("false"), F.lit(True)).count() == 0

@@ -8,16 +8,20 @@ allowance divided by ``relax``. A factor of 1 gives exact results.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlloom.llm.common import materialize
 
 LEAF = 128
+#: A shard holds so many points, or fewer of many dimensions.
 SHARD_ROWS = 8192
-QUERY_BLOCK = 1024
+SHARD_BYTES = 32 << 20
 #: In the tree cosines are known up to rounding; no point within this margin is pruned.
 _MARGIN = 1e-11
 
@@ -30,6 +34,11 @@ def dots(a: np.ndarray, q: np.ndarray) -> np.ndarray:
     return total
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings the largest component to 0.5 to 1: cosines stay bit by bit, and no square leaves the double range."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1][:, None])
+
+
 def cosines(a: np.ndarray, lengths: np.ndarray, q: np.ndarray) -> np.ndarray:
     return dots(a, q) / (lengths * np.sqrt(dots(q[None, :], q)[0]))
 
@@ -38,6 +47,7 @@ class Tree:
     """A vantage-point tree over distinct vectors."""
 
     def __init__(self, vectors: np.ndarray, leaf: int = LEAF, seed: int = 1):
+        vectors = scaled(vectors)
         self.lengths = np.sqrt(_squares(vectors))
         self.vectors, self.units = vectors, vectors / self.lengths[:, None]
         self.nodes: list[tuple] = []
@@ -63,6 +73,7 @@ class Tree:
 
     def search(self, q: np.ndarray, k: int, relax: float = 1.0) -> list[tuple[float, int]]:
         """The k nearest as (cosine, row), by falling cosine, then row; those within rounding of the last one included."""
+        q = scaled(q[None, :])[0]
         unit = q / np.sqrt(dots(q[None, :], q)[0])
         rows, near = np.empty(0, int), np.empty(0)
         radius = np.inf
@@ -114,47 +125,64 @@ def nearest(
     k: int = 5,
     relax: float = 1.0,
     shard_rows: int = SHARD_ROWS,
-    query_block: int = QUERY_BLOCK,
+    shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest others of each query by cosine.
 
     Every usable row is a candidate; rows of the stated query set ask all shards of their
-    dimension, in blocks, so a task holds one shard and one block. Equal vectors share one
-    point of the tree: of those in a shard the k + 1 smallest ids are kept, as no other can be
-    among a query's k nearest. Equal scores go to the smaller id. A row is no candidate for a
-    query with its own id; rows that repeat an id are one candidate, the last of the repeated
-    vectors in binary order. Unusable vectors take no part; without candidates a query has no row.
+    dimension. A task gets the points of a shard first, builds its tree once, and lets the queries stream past it one
+    by one, so it holds one shard. Equal vectors share one point of the tree: of those in a shard the k + 1 with the smallest
+    ids are kept, as no other can be among a query's k nearest. Equal scores go to the smaller id.
+    A row is no candidate for itself; rows that repeat an id are candidates and queries each on their own.
+    Unusable vectors and null ids take no part; without candidates a query has no row.
     """
     rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.filter(usable(F.col("v")) & F.col("id").isNotNull())
-    rows = materialize(rows.groupBy("id").agg(F.max("v").alias("v"), F.max("asks").alias("asks")).withColumn("dim", F.size("v")), "vectors")
-    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"))
-    sizes = sizes.select(
-        "dim", F.expr(f"cast(ceil(n / {shard_rows}) as int)").alias("shards"), F.expr(f"cast(greatest(1, ceil(q / {query_block})) as int)").alias("blocks")
-    )
-    placed = rows.join(sizes, "dim")
-    # Equal vectors meet in one shard; a salt by id keeps a hot one from filling it.
-    first = placed.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("v", "salt").orderBy("id"))).filter(F.col("r") <= k + 1)
-    points = ranked.groupBy("dim", "shards", "blocks", "v").agg(F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("ids"))
-    points = points.select(F.col("dim").alias("p_dim"), F.col("v").alias("p_v"), "ids", F.pmod(F.xxhash64("v"), "shards").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asking = placed.filter("asks").select(
-        F.col("dim").alias("q_dim"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block")
-    )
-
-    def search(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
-        if len(points) and len(queries):
-            ids = points["ids"].tolist()
-            tree = Tree(np.array(points["p_v"].tolist(), float))
-            for query, v in zip(queries["q_id"], queries["q_v"], strict=True):
-                found: list[tuple[float, int]] = []
+    rows = rows.filter(usable(F.col("v")) & F.col("id").isNotNull()).withColumn("row", F.monotonically_increasing_id()).withColumn("dim", F.size("v"))
+    rows = materialize(rows, "vectors")
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    fits = F.least(F.lit(shard_rows), F.greatest(F.lit(1), F.floor(F.lit(shard_bytes) / (8 * F.col("dim")))))
+    placed = rows.join(F.broadcast(sizes.select("dim", F.ceil(F.col("n") / fits).cast("int").alias("shards"))), "dim")
+    # Equal vectors meet in one shard; a salt by row keeps a hot one from filling it.
+    first = placed.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(64)))
+    ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("v", "salt").orderBy("id", "row"))).filter(F.col("r") <= k + 1)
+    points = ranked.groupBy("dim", "shards", "v").agg(F.slice(F.sort_array(F.collect_list(F.struct("id", "row"))), 1, k + 1).alias("owners"))
+    points = points.select("dim", F.pmod(F.xxhash64("v"), "shards").cast("int").alias("shard"), F.lit(0).alias("asks"), "v", F.col("owners.id").alias("ids"), F.col("owners.row").alias("rows"))
+    queries = placed.filter("asks").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.lit(1).alias("asks"), "v", F.array("id").alias("ids"), F.array("row").alias("rows"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flat():
+            for batch in batches:
+                cols = [batch.column(c).to_pylist() for c in ("dim", "shard", "asks", "ids", "rows")]
+                values, offsets = batch.column("v").values.to_numpy(), batch.column("v").offsets.to_numpy()
+                for i, (dim, shard, asks, ids, numbers) in enumerate(zip(*cols, strict=True)):
+                    yield (dim, shard), asks, values[offsets[i] : offsets[i + 1]], list(zip(ids, numbers, strict=True))
+
+        out: list[tuple[int, int, int, float]] = []
+        for _, group in groupby(flat(), key=lambda x: x[0]):
+            kept, owners, tree = [], [], None
+            for _, asks, v, who in group:
+                if not asks:
+                    kept.append(v.copy())
+                    owners.append(who)
+                    continue
+                if tree is None:
+                    tree = Tree(np.array(kept).reshape(len(kept), len(v)))
+                    kept = []
+                query, own = who[0]
                 # One point can be the query itself, so ask for one more.
-                for c, row in tree.search(np.asarray(v, float), k + 1, relax):
-                    found += [(-c, i) for i in ids[row] if i != query]
-                out += [(query, i, -c) for c, i in sorted(found)[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = points.groupBy("p_dim", "shard", "block").cogroup(asking.groupBy("q_dim", "shard", "block")).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                found = [(-c, i, row) for c, at in tree.search(v, k + 1, relax) for i, row in owners[at] if row != own]
+                out += [(query, own, i, -c) for c, i, _ in sorted(found)[:k]]
+                if len(out) > 20_000:
+                    yield _found(out)
+                    out = []
+        yield _found(out)
+
+    dealt = points.unionByName(queries).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks")
+    found = dealt.mapInArrow(search, "query_id long, query_row long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _found(out: list[tuple[int, int, int, float]]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [[]] * 4
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.float64())], ["query_id", "query_row", "vec_id", "score"])
