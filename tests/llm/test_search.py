@@ -47,7 +47,7 @@ def test_extreme_magnitudes_and_repeated_ids(spark):
     for r in vp.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
     assert sorted(got[50]) == [(1, 1, 1.0), (2, 3, 1.0), (3, 100, 1.0)]
-    assert sorted(got[100]) == [(1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (2, 3, 1.0), (3, 50, 1.0), (3, 100, 0.8)]
+    assert sorted(got[100]) == [(1, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0), (2, 3, 1.0), (3, 1, 0.8), (3, 50, 1.0)]
 
 
 @pytest.mark.parametrize("relax", [1.05, 1.15])

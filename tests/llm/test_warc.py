@@ -11,12 +11,11 @@ def digest(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
 
-@pytest.mark.parametrize("compression", ["gzip", None])
-def test_round_trip(spark, tmp_path, compression):
+def test_round_trip(spark, tmp_path):
     odd = "WARC/1.1\r\nWARC-Type: response\r\n\r\n\r\n\r\nContent-Length: 3\r\n\r\n"
     rows = [(1, "http://a.example/x", "same"), (2, "http://b.example/y", "same"), (9, "HTTPS://www.A.example:443/x?q=1", "same"), (3, None, None), (4, "http://a.example/\r\nX: 1", ""), (5, "http://a.example/x", odd), (6, "http://[bad", "ünï"), (9, "http://a.example/x", "same"), (7, "u" * 3000, "x" * 70_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'clash' AS digest", "1 AS bytes")
-    found = warc.capture_histories(pages, str(tmp_path / "w"), compression=compression, archive_bytes=40_000)
+    found = warc.capture_histories(pages, str(tmp_path / "w"), archive_bytes=40_000)
     got = {(r.page_id, r.url): r for r in found.collect()}
     assert len(got) == len(rows)
     kept = {}
@@ -38,8 +37,32 @@ def test_small_payloads_are_responses(spark, tmp_path):
 def test_histories_are_globally_ordered(spark, tmp_path):
     rows = [(i, f"http://h{i % 7}.example/{i % 3}", f"page {i}") for i in range(600)]
     found = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"), archive_bytes=30_000)
-    keys = [(r.url_key, r.captured, r.page_id) for part in found.rdd.glom().collect() for r in part]
-    assert keys == sorted(keys) and len(keys) == 600
+    rows = sorted(found.collect(), key=lambda r: r.position)
+    keys = [(r.url_key, r.captured, r.page_id) for r in rows]
+    assert keys == sorted(keys) and [r.position for r in rows] == list(range(1, 601))
+
+
+def test_entries_address_members_of_the_files(spark, tmp_path):
+    rows = [(i, f"http://h{i % 5}.example/", f"page {i} " * (i % 40)) for i in range(400)] + [(900, "http://h.example/", "long text " * 300_000)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        found = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(found) == 401
+    for r in found:
+        data = (tmp_path / "w" / r.archive).read_bytes()[r.offset : r.offset + r.length]
+        _, _, headers, _ = warc.read_record(data)
+        assert headers["WARC-Record-ID"] == f"<urn:page:{r.page_id}>"
+
+
+def test_capture_numbers_run_through_ranges(spark, tmp_path):
+    rows = [(i, "http://a.example/" if i % 3 else "http://b.example/", f"{i}") for i in range(600)]
+    found = warc.capture_histories(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w")).collect()
+    for key in ("example,a)/", "example,b)/"):
+        mine = sorted((r.page_id, r.capture_no) for r in found if r.url_key == key)
+        assert [n for _, n in mine] == list(range(1, len(mine) + 1)) and len(mine) in (200, 400)
 
 
 def test_empty_table(spark, tmp_path):

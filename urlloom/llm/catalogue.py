@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_warc_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.capture_histories(_table(spark, sf_dir, "pages"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture_no", "position")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,15 +163,19 @@ FROM pairs QUALIFY rank <= 5
 
 _OP1_SQL = """
 WITH p AS (
-  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM {pages}
+  SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM {pages}
 ), d AS (
   SELECT *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-    (('0x' || substr(h, 5 * (i // 4)::BIGINT + 1, 5))::BIGINT >> (5 * (3 - i % 4))::INTEGER) % 32 + 1, 1)), '') AS payload_digest FROM p
+    (('0x' || substr(h, 5 * (i // 4)::BIGINT + 1, 5))::BIGINT >> (5 * (3 - i % 4))::INTEGER) % 32 + 1, 1)), '') AS payload_digest,
+    regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM p
 ), k AS (
-  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM d
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept,
+    array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^#]*)', 1)) AS url_key,
+    strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM d
 )
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> kept THEN kept END AS refers_to
+       CASE WHEN page_id <> kept THEN kept END AS refers_to, url_key, captured, row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id) AS capture_no,
+       row_number() OVER (ORDER BY url_key, captured, page_id) AS position
 FROM k
 """
 

@@ -1,6 +1,8 @@
 """WARC archives with revisit records, and their index merged by URL key and timestamp.
 
-Archives are written as one record after the other; their index is kept as runs, each sorted
+An archive is a sequence of gzip members, one a record, so an index entry's offset and length address a record in the
+file. Between members stands an empty member, which the sink writes as its line separator. Archives
+are read as a stream of records; each part of a file that a task reads gives a run of the index, sorted
 by URL key and timestamp. Runs are dealt out by key range, and every range is merged from its
 slices of the runs with a loser tree, which gives globally ordered capture histories.
 """
@@ -8,20 +10,24 @@ slices of the runs with a loser tree, which gives globally ordered capture histo
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from urlloom.llm.common import materialize, work_dir
+from urlloom.llm.common import discard, materialize, meet, slices, work_dir
 
-#: Bytes of payload that one archive holds, about.
-ARCHIVE_BYTES = 16 << 20
+#: Bytes of payload that an archive holds at most, about; small tables make archives of SMALL_BYTES, up to the number of shuffle partitions.
+ARCHIVE_BYTES, SMALL_BYTES = 1 << 30, 16 << 20
+#: Entries of a key range, about, and of a run at most: what a task holds in the merge and when it reads.
+RANGE_ENTRIES, RUN_ENTRIES = 200_000, 50_000
+#: An empty gzip member.
+_SEPARATOR = zlib.compressobj(wbits=31).flush()
 MIN_PAYLOAD = 0
 _EPOCH = "2024-01-01T00:00:00Z"
 _INDEX = "url_key string, captured string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, archive string, offset long, length long"
@@ -49,7 +55,6 @@ def write_archives(
     captured: Column | None = None,
     min_payload: int = MIN_PAYLOAD,
     archive_bytes: int = ARCHIVE_BYTES,
-    compression: str | None = "gzip",
 ) -> None:
     """Write one record for each row to WARC files below ``path``.
 
@@ -58,11 +63,9 @@ def write_archives(
     revisit it; rows that repeat that id with that payload are responses too. A null id is
     smaller than any other. ``captured`` defaults to a time that grows with the page id.
 
-    Digests are counted in a map-side combined aggregate, and only page ids travel to
-    find revisits, so a payload that a third of the pages share is no hot group; the html is dealt out once, by page id.
-    Records are UTF-8 throughout, so Spark's own text sink writes them, with its commit protocol.
-    An archive is compressed as one gzip stream, which halves the disk needed; offsets in the index count
-    plain bytes. ``compression=None`` leaves records addressable in the file.
+    Digests are counted in a map-side combined aggregate; ids meet the digests that occur several times with
+    hot ones broadcast, so a payload that a third of the pages share holds up no task; the html is dealt out once, by page id.
+    Members go through Spark's own text sink as bytes, with its commit protocol. A page is held whole, however long.
     """
     if captured is None:
         captured = F.timestamp_seconds(F.unix_timestamp(F.to_timestamp(F.lit(_EPOCH))) + F.coalesce(F.col(page_id), F.lit(0)).cast("long"))
@@ -75,16 +78,21 @@ def write_archives(
         F.octet_length(payload).cast("long").alias("bytes"),
         F.date_format(captured, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"),
     )
+    spark = pages.sparkSession
     small = materialize(rows.select("page_id", "digest", "bytes"), "digests")
     total = small.agg(F.sum(F.col("bytes") + 600)).first()[0] or 0
     several = small.filter(F.col("bytes") >= min_payload).groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept is not null")
+    several = materialize(several, "several")
+    many = several.agg(F.sum("n")).first()[0] or 0
     revisits = (
-        small.join(several, "digest")
+        meet(small, several, ["digest"], "n", many)
         .filter(~F.col("page_id").eqNullSafe(F.col("kept")))
         .select(F.coalesce("page_id", no_id).alias("r_id"), F.col("digest").alias("r_digest"), F.col("kept").alias("refers_to"))
         .distinct()
     )
-    n = max(1, -(-int(total) // archive_bytes))
+    revisits = materialize(revisits, "revisits")
+    discard(small, several)
+    n = max(1, -(-int(total) // archive_bytes), min(-(-int(total) // SMALL_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     placed = rows.withColumn("key", F.coalesce("page_id", no_id)).repartition(n, "key", "digest")
     dealt = placed.join(revisits.hint("shuffle_hash"), (F.col("key") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     revisit = F.col("refers_to").isNotNull()
@@ -108,8 +116,21 @@ def write_archives(
         F.octet_length("body"),
         F.lit("\r\n\r\n"),
         F.col("body"),
+        F.lit("\r\n\r\n"),
     )
-    dealt.withColumn("body", body).select(record.alias("value")).write.text(path, compression=compression or "none", lineSep="\r\n\r\n")
+    members = dealt.withColumn("body", body).select(record.alias("record")).mapInArrow(_members, "value binary")
+    sink = members.select(F.col("value").cast("string").alias("value")).write
+    sink.option("lineSep", _SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    discard(revisits)
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        packed = []
+        for x in batch.column("record"):
+            deflate = zlib.compressobj(wbits=31)
+            packed.append(deflate.compress(x.as_py().encode()) + deflate.flush())
+        yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary())], ["value"])
 
 
 def url_key(url: str | None) -> str:
@@ -176,26 +197,59 @@ def _order(entry: tuple) -> tuple:
     return entry[0], entry[1], -1 if entry[2] is None else entry[2], entry[8], entry[9]
 
 
+def read_record(data: bytes) -> tuple[int, int, dict[str, str], bytes]:
+    """The one record of a gzip member, as ``read_records`` gives it."""
+    inflate = zlib.decompressobj(wbits=31)
+    plain = inflate.decompress(data)
+    if not inflate.eof or inflate.unused_data:
+        raise ValueError("a member is cut off or followed by something else")
+    found = list(read_records(plain))
+    if len(found) != 1:
+        raise ValueError(f"a member holds {len(found)} records")
+    return found[0]
+
+
 def index_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The index of all archives below ``path``: a sorted run for each archive, one after the other.
+    """The index of all archives below ``path``, a sorted run after the other; offset and length address members in the file.
 
-    A task holds an archive at a time, whose size the writer bounds (a page larger than that
-    makes an archive of its own). Payloads of responses are checked against their digests.
+    Spark splits large archives; a task holds one record and the entries of one run. Payloads of responses are
+    checked against their digests. Where a record stands follows from the lengths of those before it in its
+    split, and from the sums of the splits before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                name = batch.column("path")[i].as_py().rsplit("/", 1)[-1]
-                data = batch.column("content")[i].as_buffer().to_pybytes()
-                if data[:2] == b"\x1f\x8b":
-                    data = gzip.decompress(data)
-                entries = sorted((_entry(name, *r) for r in read_records(data)), key=_order)
-                if entries:
-                    yield _batch(entries)
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(run, _INDEX)
+        place, at, entries = None, 0, []
+        for batch in slices(batches):
+            for name, block, data in zip(*[batch.column(c) for c in ("archive", "block", "data")], strict=True):
+                if (name.as_py(), block.as_py()) != place or len(entries) >= RUN_ENTRIES:
+                    if entries:
+                        yield _local(entries)
+                    at = at if (name.as_py(), block.as_py()) == place else 0
+                    place, entries = (name.as_py(), block.as_py()), []
+                member = data.as_buffer().to_pybytes()
+                if member:
+                    _, _, headers, block_ = read_record(member)
+                    entries.append((*_entry(place[0], at, len(member), headers, block_), place[1]))
+                at += len(member) + len(_SEPARATOR)
+        if entries:
+            yield _local(entries)
+
+    files = spark.read.option("pathGlobFilter", "part-*").option("lineSep", _SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    parts = files.select(F.col("_metadata.file_name").alias("archive"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
+    local = materialize(parts.mapInArrow(run, f"{_INDEX}, block long"), "local")
+    ends = local.groupBy("archive", "block").agg((F.max(F.col("offset") + F.col("length")) + len(_SEPARATOR)).alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("archive").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    starts = ends.select("archive", "block", before).filter("before > 0")
+    if not starts.head(1):
+        return local.drop("block")
+    placed = local.join(starts, ["archive", "block"], "left").withColumn("offset", F.col("offset") + F.coalesce("before", F.lit(0)))
+    return placed.select(*_NAMES)
+
+
+def _local(entries: list[tuple]) -> pa.RecordBatch:
+    entries.sort(key=_order)
+    plain = _batch([e[:-1] for e in entries])
+    return pa.RecordBatch.from_arrays([*plain.columns, pa.array([e[-1] for e in entries], pa.int64())], [*_NAMES, "block"])
 
 
 def _batch(entries: list[tuple]) -> pa.RecordBatch:
@@ -259,12 +313,13 @@ def sorted_runs(entries: Iterable[tuple], key=_order) -> list[list[tuple]]:
 
 
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """Globally ordered captures: partitions follow one another, and each is in order.
+    """Globally ordered captures: ``position`` is their place, from 1, and ``capture_no`` counts a URL key's captures.
 
     Ranges are cut by URL key, time and id, so a URL with very many captures takes several
-    ranges. Shuffled slices of runs arrive in pieces that are still sorted; a range is cut
-    into the sorted pieces it got, in whatever order they came, and those are merged. Adds ``capture_no``, which counts
-    a URL key's captures within its range from 1.
+    ranges, and hold about RANGE_ENTRIES entries, so a task's part stays small however many runs there are. Shuffled slices of
+    runs arrive in pieces that are still sorted; a range is cut
+    into the sorted pieces it got, in whatever order they came, and those are merged. Both numbers run through
+    all ranges: a range adds how many captures the ones before it hold, in all and of its first key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,32 +328,42 @@ def merge_runs(runs: DataFrame) -> DataFrame:
                 yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
         out, before, count = [], None, 0
-        for entry in LoserTree(sorted_runs(rows()), _order):
+        for at, entry in enumerate(LoserTree(sorted_runs(rows()), _order), 1):
             count = count + 1 if entry[0] == before else 1
             before = entry[0]
-            out.append((*entry, count))
+            out.append((*entry, count, at))
             if len(out) == 10_000:
                 yield _numbered(out)
                 out = []
         if out:
             yield _numbered(out)
 
-    dealt = runs.repartitionByRange("url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive", "offset")
-    return dealt.mapInArrow(run, f"{_INDEX}, capture_no long")
+    spark = runs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // RANGE_ENTRIES))
+    dealt = runs.repartitionByRange(parts, "url_key", "captured", F.coalesce("page_id", F.lit(-1)), "archive", "offset")
+    merged = materialize(dealt.mapInArrow(run, f"{_INDEX}, capture_no long, position long").withColumn("part", F.spark_partition_id()), "merged")
+    by_part = merged.groupBy("part").agg(F.min("url_key").alias("url_key"), F.count(F.lit(1)).alias("n"))
+    starts = by_part.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    firsts = by_part.select("url_key")
+    held = merged.join(F.broadcast(firsts.distinct()), "url_key").groupBy("url_key", "part").agg(F.max("capture_no").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("url_key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = held.select("url_key", "part", earlier.alias("carried")).filter("carried > 0")
+    joined = merged.join(F.broadcast(carried), ["url_key", "part"], "left").join(F.broadcast(starts), "part")
+    return joined.select(*_NAMES, (F.col("capture_no") + F.coalesce("carried", F.lit(0))).alias("capture_no"), (F.col("start") + F.col("position")).alias("position"))
 
 
 def _numbered(entries: list[tuple]) -> pa.RecordBatch:
-    plain = _batch([e[:-1] for e in entries])
-    return pa.RecordBatch.from_arrays([*plain.columns, pa.array([e[-1] for e in entries], pa.int64())], [*_NAMES, "capture_no"])
+    plain = _batch([e[:-2] for e in entries])
+    return pa.RecordBatch.from_arrays([*plain.columns, *[pa.array([e[i] for e in entries], pa.int64()) for i in (-2, -1)]], [*_NAMES, "capture_no", "position"])
 
 
 def capture_histories(pages: DataFrame, path: str | None = None, **options) -> DataFrame:
     """Write ``pages`` as archives, read them back, and merge their index.
 
-    One row for each row of ``pages``, in global order by partition. An empty table
+    One row for each row of ``pages``; ``position`` is the global order. An empty table
     gives an empty result. Columns other than id, url and html are ignored.
     """
     spark = pages.sparkSession
     path = path or work_dir(spark, "warc")
     write_archives(pages, path, **options)
-    return merge_runs(materialize(index_runs(spark, path), "runs"))
+    return merge_runs(index_runs(spark, path))
