@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -178,3 +179,33 @@ def test_quality_sample_bound_empty_table_and_null_ids(spark):
     assert len(got) == 401 and all((r.score > 0.5) == bool(r.doc_id % 2) for r in got if r.doc_id is not None)
     assert quality.train_and_score(docs.filter("false"), labels, features=16).count() == 0
     assert {r.doc_id for r in quality.drop_low(docs, labels, least=0.3, features=16).collect()} >= set(range(1, 400, 2))
+
+
+def test_licence_scan_equals_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 120").select("doc_id", "text")
+    model = license_scan.train(spark, docs)
+    assert model.calibration["rows"] > 100 and model.calibration["accuracy"] > 0.95 and model.calibration["log_loss"] < 0.2
+    assert 0.3 < model.calibration["accuracy_of_unseen_sentences"] < model.calibration["accuracy"]
+    weights = dict(zip(model.vocabulary, model.weights, strict=True))
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", t.lower()) if w]
+    grams = lambda w: {" ".join(w[i : i + n]) for n in (2, 3) for i in range(len(w) - n + 1)}
+    want = {}
+    for r in docs.collect():
+        for k, line in enumerate(re.sub(r"(?<![.!?:;\s])[ \t]*\r?\n(?=[ \t]*[a-z])", " ", r.text or "").split("\n")):
+            z = np.array(model.intercepts) + sum((np.array(weights[g]) for g in grams(words(line)) if g in weights), np.zeros(len(model.families)))
+            p = np.exp((z - z.max()) / model.temperature)
+            p /= p.sum()
+            if p.argmax() < len(p) - 1 and p.max() >= 0.5:
+                own = [grams(words(t)) for t in license_scan.TEMPLATES[model.families[p.argmax()]]]
+                want[r.doc_id, k] = (model.families[p.argmax()], p.max(), p[-1], max(len(o & grams(words(line))) / len(o) for o in own))
+    got = {(r.doc_id, r.paragraph): (r.family, r.probability, r.unknown, r.coverage) for r in license_scan.scan(docs, model).collect()}
+    assert got.keys() == want.keys() and want
+    for k, (family, p, unknown, share) in want.items():
+        assert got[k][0] == family and got[k][1:] == pytest.approx((p, unknown, share), abs=2e-6)
+
+
+def test_wrapped_licences_empty_table_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "Notes.\nThis work is licensed under the GNU General\n  Public License,\nversion 3.\nNext Line"), (1, "plain words only here")], "doc_id long, text string")
+    model = license_scan.train(spark)
+    assert [(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(docs, model).collect()][0][2] in license_scan.TEMPLATES
+    assert license_scan.scan(docs.filter("false")).count() == 0

@@ -1,9 +1,10 @@
 """Licence scans: a trained paragraph classifier confirmed by template comparison.
 
 A multinomial logistic regression over sparse word bigrams and trigrams tells licence
-families and an unknown class apart. It is fitted on sentences of the families and on
-neutral ones; its temperature is calibrated on sentences kept out of the fit. Scoring is
-one DataFrame plan: paragraphs are cut into n-grams, those of the vocabulary meet their
+families and an unknown class apart. It is fitted on sentences of the families, on
+neutral ones, and on a bounded sample of the corpus' own paragraphs that share no trigram with a template;
+its temperature is calibrated on variants of sentences and sampled paragraphs that a first fit
+didn't see; how sentences fare that a fit saw no variant of is reported with the model. Scoring is one DataFrame plan: paragraphs are cut into n-grams, those of the vocabulary meet their
 weights, and a prediction counts as confirmed if enough of a template of its family is there.
 """
 
@@ -18,8 +19,13 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlloom.llm.common import discard, materialize
+
 UNKNOWN = "unknown"
 COVERAGE = 0.7
+FOLDS = 4
+#: Paragraphs of the corpus that a fit takes as examples of the unknown class, at most about.
+NEGATIVES = 2000
 #: One sentence each; digits and words are what tells versions apart.
 TEMPLATES: dict[str, list[str]] = {
     "apache-2.0": [
@@ -110,21 +116,38 @@ def grams_of(words: Column) -> Column:
     return F.concat(word_grams(words, 2), word_grams(words, 3))
 
 
-def training_rows() -> list[tuple[int, int, str]]:
-    """(class number, fold, sentence): templates whole, with a word missing, and within neutral text."""
+def paragraphs_of(text: Column) -> Column:
+    """Lines, with those joined that only a line break within a sentence parts: no stop before it, a small letter after it."""
+    return F.split(F.regexp_replace(text, r"(?<![.!?:;\s])[ \t]*\r?\n(?=[ \t]*[a-z])", " "), "\n", -1)
+
+
+def training_rows() -> list[tuple[int, int, int, str]]:
+    """(class number, fold, fold of the sentence, text): templates whole, with a word missing, and within neutral text."""
     out = []
     for number, sentences in enumerate([*TEMPLATES.values(), NEUTRAL]):
         own = number < len(TEMPLATES)
-        for s in sentences:
+        for at, s in enumerate(sentences):
             w = s.split()
             made = [s, s]
             made += [" ".join(w[:i] + w[i + 1 :]) for i in range(len(w))] if not own or len(w) > 6 else []
             if own:
                 made += [f"{a} {s}" for a in NEUTRAL[::3]] + [f"{s} {b}" for b in NEUTRAL[1::3]]
-            out += [(number, i % 4, m) for i, m in enumerate(made)]
+            out += [(number, i % FOLDS, (at + number) % FOLDS, m) for i, m in enumerate(made)]
     return out
 
 
+def negative_paragraphs(docs: DataFrame, *, text: str = "text", limit: int = NEGATIVES) -> DataFrame:
+    """(text): about ``limit`` paragraphs of the corpus at most, chosen by a hash of their text, that share no trigram with a template."""
+    spark = docs.sparkSession
+    grams = _literals(spark, [(t,) for ts in TEMPLATES.values() for t in ts], "template string").select(F.explode(word_grams(words_of(F.col("template")), 3)).alias("g")).agg(F.collect_set("g").alias("known"))
+    n = docs.count()
+    few = docs.select(F.col(text).alias("text")).filter("text is not null").filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, limit / max(n, 1))))
+    lines = few.select(F.explode(paragraphs_of(F.col("text"))).alias("text")).filter(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(7)) == 0)
+    worded = lines.select("text", F.explode(F.array(words_of(F.col("text")))).alias("words")).filter("size(words) > 3")
+    clean = worded.join(F.broadcast(grams)).filter(~F.arrays_overlap(word_grams(F.col("words"), 3), F.col("known"))).select("text")
+    return clean.orderBy(F.xxhash64("text", F.lit(2)), "text").limit(limit)
+
+
 @dataclass
 class LicenceModel:
     families: list[str]
@@ -132,6 +155,8 @@ class LicenceModel:
     weights: list[list[float]]
     intercepts: list[float]
     temperature: float
+    #: Of the held-out rows: their number, mean log loss before and after calibration, and share of right classes; then the share for held-out sentences.
+    calibration: dict[str, float]
 
 
 def _literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -141,23 +166,42 @@ def _literals(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ':')}>>".replace(",:", ","))))
 
 
-def train(spark: SparkSession, *, regularization: float = 2e-3) -> LicenceModel:
-    """Fit on three folds, calibrate the temperature on the fourth."""
-    rows = _literals(spark, training_rows(), "label int, fold int, text string").withColumn("words", words_of(F.col("text"))).withColumn("grams", grams_of(F.col("words")))
-    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(rows)
-    data = vectorizer.transform(rows).coalesce(1).cache()
-    model = LogisticRegression(family="multinomial", regParam=regularization, maxIter=100, tol=1e-5).fit(data.filter("fold <> 3"))
-    scored = model.transform(data.filter("fold = 3")).select("label", F.expr("cast(rawPrediction as string)").alias("raw"))
-    logits = F.from_json("raw", "array<double>")
-    held = [(r[0], r[1]) for r in scored.select("label", logits.alias("z")).collect()]
+def train(spark: SparkSession, docs: DataFrame | None = None, *, text: str = "text", regularization: float = 2e-3) -> LicenceModel:
+    """Fit on all folds but the last and calibrate the temperature on that one; the weights come from a fit on all.
+
+    ``docs`` gives examples of the unknown class. The training set is bounded by the module's sentences and NEGATIVES.
+    """
+    rows = _literals(spark, training_rows(), "label int, fold int, sentence int, text string")
+    if docs is not None:
+        negatives = negative_paragraphs(docs, text=text)
+        rows = rows.unionByName(negatives.select(F.lit(len(TEMPLATES)).alias("label"), *[F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias(c) for c in ("fold", "sentence")], "text"))
+    rows = rows.withColumn("words", words_of(F.col("text"))).withColumn("grams", grams_of(F.col("words")))
+    table = materialize(rows.select("label", "fold", "sentence", "grams").coalesce(1), "licences")
+    own = table.filter(F.col("label") < len(TEMPLATES))
+    # The vocabulary is that of the sentences: grams that only the corpus has tell nothing about families.
+    sentences = _literals(spark, [(t,) for ts in [*TEMPLATES.values(), NEUTRAL] for t in ts], "text string").withColumn("words", words_of(F.col("text"))).withColumn("grams", grams_of(F.col("words")))
+    vectorizer = CountVectorizer(inputCol="grams", outputCol="features", binary=True, vocabSize=1 << 16).fit(own.select("grams").union(sentences.select("grams")))
+    data = vectorizer.transform(table).coalesce(1).cache()
+    regression = LogisticRegression(family="multinomial", regParam=regularization, maxIter=100, tol=1e-5)
+
+    def left_out(by: str) -> list[tuple[int, list[float]]]:
+        fitted = regression.fit(data.filter(F.col(by) != FOLDS - 1))
+        scored = fitted.transform(data.filter(F.col(by) == FOLDS - 1)).select("label", F.expr("cast(rawPrediction as string)").alias("raw"))
+        return [(r[0], r[1]) for r in scored.select("label", F.from_json("raw", "array<double>").alias("z")).collect()]
+
+    held, unseen = left_out("fold"), left_out("sentence")
+    model = regression.fit(data)
     data.unpersist()
+    discard(table)
 
     def loss(t: float) -> float:
-        return sum(math.log(sum(math.exp((x - z[label]) / t) for x in z)) for label, z in held)
+        return sum(math.log(sum(math.exp((x - z[label]) / t) for x in z)) for label, z in held) / len(held)
 
     temperature = min((0.25 * 1.25**i for i in range(14)), key=loss)
+    right = lambda rows: sum(max(range(len(z)), key=z.__getitem__) == label for label, z in rows) / len(rows)
+    figures = {"rows": len(held), "log_loss_raw": loss(1.0), "log_loss": loss(temperature), "accuracy": right(held), "accuracy_of_unseen_sentences": right(unseen)}
     matrix = model.coefficientMatrix.toArray()
-    return LicenceModel([*TEMPLATES, UNKNOWN], list(vectorizer.vocabulary), matrix.T.tolist(), model.interceptVector.toArray().tolist(), temperature)
+    return LicenceModel([*TEMPLATES, UNKNOWN], list(vectorizer.vocabulary), matrix.T.tolist(), model.interceptVector.toArray().tolist(), temperature, figures)
 
 
 def scan(
@@ -169,25 +213,25 @@ def scan(
     least: float = 0.5,
     coverage: float = COVERAGE,
 ) -> DataFrame:
-    """(doc_id, paragraph, family, probability, coverage, confirmed) of licence paragraphs.
+    """(doc_id, paragraph, family, probability, unknown, coverage, confirmed) of licence paragraphs.
 
-    A paragraph is a line; they are numbered from 0 in the whole text. One row for each
-    paragraph whose likeliest class is a family with a probability of at least ``least``;
-    all others are unknown and have no row. Paragraphs without an n-gram of the vocabulary get the
+    A paragraph is a line, or several that one sentence runs through; they are numbered from 0 in the whole text. One row for each
+    paragraph whose likeliest class is a family with a probability of at least ``least``; ``unknown`` is the probability of
+    the unknown class. All others are unknown and have no row. Paragraphs without an n-gram of the vocabulary get the
     intercepts' class, which must be unknown. coverage is the largest share of a template's n-grams
-    (of that family) that the paragraph has. Null and empty texts have no rows; repeated rows repeat
-    theirs.
+    (of that family) that the paragraph has. Null and empty texts have no rows, an empty table gives none; repeated rows repeat
+    theirs, and a null id is kept. Equally likely classes go to the first family in order. Texts and paragraphs are taken whole.
 
     There is no shuffle. The vocabulary's weights and the templates, whose sizes the training
     sentences fix, are all that goes to the executors.
     """
     spark = docs.sparkSession
-    model = model or train(spark)
+    model = model or train(spark, docs, text=text)
     names, n = model.families, len(model.families)
     if max(range(n), key=model.intercepts.__getitem__) != names.index(UNKNOWN):
         raise ValueError("a paragraph without known n-grams would not be unknown")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("text is not null")
-    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "line"))
+    lines = rows.select("doc_id", F.posexplode(paragraphs_of(F.col("text"))).alias("paragraph", "line"))
     # Generating one row keeps words a plain column: nothing is cut twice.
     worded = lines.select("doc_id", "paragraph", F.explode(F.array(words_of(F.col("line")))).alias("words"))
     vocabulary = set(model.vocabulary)
@@ -203,10 +247,11 @@ def scan(
     top = top.withColumn("at", F.array_position("z", F.col("best")).cast("int")).withColumn(
         "probability", 1.0 / F.aggregate("z", F.lit(0.0), lambda s, z: s + F.exp(z - F.col("best")))
     )
+    top = top.withColumn("unknown", F.exp(F.element_at("z", len(names)) - F.col("best")) * F.col("probability"))
     known = top.withColumn("family", F.element_at(F.array(*map(F.lit, names)), F.col("at"))).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
     sentences = _literals(spark, [(f, t) for f, ts in TEMPLATES.items() for t in ts], "t_family string, template string")
     templates = sentences.select("t_family", words_of(F.col("template")).alias("words")).select("t_family", grams_of(F.col("words")).alias("t_grams"))
     by_family = templates.groupBy("t_family").agg(F.collect_list("t_grams").alias("templates"))
     compared = known.join(F.broadcast(by_family), F.col("family") == F.col("t_family"))
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("grams"))) / F.size(t)))
-    return compared.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round(share, 6).alias("coverage"), (share >= coverage).alias("confirmed"))
+    return compared.select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), "family", F.round("probability", 6).alias("probability"), F.round("unknown", 6).alias("unknown"), F.round(share, 6).alias("coverage"), (share >= coverage).alias("confirmed"))
