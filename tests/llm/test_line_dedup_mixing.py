@@ -64,3 +64,18 @@ def test_queries_equal_their_sql(spark, name):
     from oracle import compare
 
     assert compare(spark, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name], "/root/testdata/sf0.001") is None
+
+
+def test_names_of_own_columns_give_way(spark):
+    docs = spark.createDataFrame([(1, "a\nb", "s", 7, 8, 9), (1, "a\nb", "s", 7, 8, 9), (2, "x " * 200_000, "s", 7, 8, 9)], "doc_id long, text string, source string, n_lines int, n_dropped int, copy_no int")
+    cut = line_dedup.drop_boilerplate(docs)
+    assert cut.columns == ["doc_id", "text", "source", "copy_no", "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in cut.collect()) == [(1, 2, 2), (1, 2, 2), (2, 1, 0)]
+    assert line_dedup.without_boilerplate(docs).columns == docs.columns
+    mixed = mixing.mix(docs, mixing.tempered_rates(docs))
+    assert mixed.columns == ["doc_id", "text", "source", "n_lines", "n_dropped", "copy_no"] and mixed.count() >= 0
+
+
+def test_small_hosts_go_by_the_ratio(spark):
+    docs = spark.createDataFrame([(i, f"menu\nown {i}", "en", "a", 1) for i in range(4)] + [(9, "alone", "en", "b", 1)], DOCS)
+    assert {r.text for r in line_dedup.drop_boilerplate(docs).collect()} == {"own 0", "own 1", "own 2", "own 3", "alone"}

@@ -209,3 +209,56 @@ def test_wrapped_licences_empty_table_and_null_ids(spark):
     model = license_scan.train(spark)
     assert [(r.doc_id, r.paragraph, r.family) for r in license_scan.scan(docs, model).collect()][0][2] in license_scan.TEMPLATES
     assert license_scan.scan(docs.filter("false")).count() == 0
+
+
+def test_language_of_ties_repeats_and_long_texts(spark):
+    docs = spark.createDataFrame([(1, "aaa", "xx"), (2, "aaa", "aa"), (3, "aaa " * 200_000, None), (3, "aaa " * 200_000, None), (None, "bbb", None)], "doc_id long, text string, lang string")
+    got = sorted(((r.doc_id or 0, r.lang_pred, r.score) for r in language_id.predict(docs, language_id.train_profiles(docs)).collect()))
+    assert [(i, p) for i, p, _ in got] == [(0, "aa"), (1, "aa"), (2, "aa"), (3, "aa"), (3, "aa")] and {s for _, _, s in got} == {0.5}
+
+
+def test_language_query_equals_brute_force_on_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    profiles = language_id.train_profiles(docs)
+    got = {r.doc_id: r for r in language_id.predict(docs, profiles).collect()}
+    for r in docs.collect():
+        low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in r.text)
+        joined = " " + " ".join(low.split(" ")).strip() + " "
+        joined = re.sub(" +", " ", joined)
+        counts = {}
+        for n in language_id.LENGTHS:
+            for i in range(len(joined) - n + 1):
+                g = joined[i : i + n]
+                if (n > 1 or g != " ") and " " not in g[1:-1]:
+                    counts[sum(ord(c) << (21 * (n - 1 - k)) for k, c in enumerate(g))] = counts.get(sum(ord(c) << (21 * (n - 1 - k)) for k, c in enumerate(g)), 0) + 1
+        own = sorted(counts, key=lambda g: (-counts[g], g))[: language_id.PROFILE]
+        sums = {name: sum(abs(p.index(g) - k) if g in set(p) else language_id.PROFILE for k, g in enumerate(own)) for name, p in profiles.items()}
+        assert got[r.doc_id].lang_pred == min(sorted(sums), key=sums.get)
+
+
+def test_context_tree_repeats_null_ids_and_long_texts(spark):
+    train = spark.createDataFrame([(1, "some words to learn, some more")], "doc_id long, text string")
+    docs = spark.createDataFrame([(None, "some words"), (1, "some words"), (1, "some words"), (2, "words " * 100_000)], "doc_id long, text string")
+    got = ct.score(docs, train, depth=3).collect()
+    assert len(got) == 4 and len({r.score for r in got if r.n_tokens == 3}) == 1
+    assert [r.n_tokens for r in got if r.doc_id == 2] == [100_001] and all(r.score < 0 for r in got)
+
+
+def test_base_scores_equal_counts(spark):
+    from urlloom.llm.catalogue import op9_context_tree_weighting
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    import zlib
+
+    tokens = {r.doc_id: [w.lower() for w in re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode())] + [b""] for r in docs}
+    out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
+    counts = {}
+    for i, ws in tokens.items():
+        for w in ws if not out[i] else ():
+            counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()), len(counts)
+    got = {r.doc_id: r for r in op9_context_tree_weighting(spark, "/root/testdata/sf0.001").collect()}
+    for i, ws in tokens.items():
+        want = sum(math.log10((counts.get(w, 0) + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (out[i], len(ws), sum(w in counts for w in ws), n)
+        assert got[i].base_score == pytest.approx(want) and got[i].score > got[i].base_score * 1.5

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlloom.llm.common import slices
+
 PROFILE = 400
 LENGTHS = (1, 2, 3)
 UNKNOWN = "und"
@@ -78,7 +80,7 @@ def train_profiles(labelled: DataFrame, *, text: str = "text", lang: str = "lang
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        for batch in slices(batches):
             texts, langs = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
             by_lang: dict[str, list] = {}
             for t, name in zip(texts, langs, strict=True):
@@ -107,7 +109,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], *, doc_id: str = "d
     score is 1 - (smallest sum / next smallest) / 2 mapped so that 0.5 is a tie and 1 a sum of
     zero, or 1 for a single language. A null text, or one without any letter, gives ``und``
     with score 0, and so does every text if there is no profile. Equal sums go to the
-    language that is first by name.
+    language that is first by name. Repeated rows give repeated results, and texts are taken whole, however long.
     """
     names = sorted(profiles)
     order = [np.array(profiles[n], np.int64).view(np.uint64) for n in names]
@@ -129,7 +131,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], *, doc_id: str = "d
         return names[best], 1.0 - 0.5 * sums[best] / second if second else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [one(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 

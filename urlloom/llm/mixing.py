@@ -90,7 +90,7 @@ def mix(docs: DataFrame, rates: DataFrame, *, doc_id: str = "doc_id", source: st
 
     ``rates`` has (source, rate), one row a source. Repeated ids draw alike; a null id draws
     like any other value; a null source is a source. Rows of sources without a rate go. All
-    input columns stay, whatever their names. A draw depends on seed and id only, so lost
+    input columns stay, whatever their names, but one called copy_no, which gives way; texts pass by whole. A draw depends on seed and id only, so lost
     executors recompute the same copies.
 
     Rates are broadcast if they number at most ``broadcast_rates``, which is counted first;
@@ -107,4 +107,4 @@ def mix(docs: DataFrame, rates: DataFrame, *, doc_id: str = "doc_id", source: st
     copies = drawn.select("_row", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("copy_no"))
     order = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.coalesce(F.col(f"_row.`{doc_id}`").cast("string"), F.lit("null")), F.col("copy_no")))
     dealt = copies.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order")
-    return dealt.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], "copy_no")
+    return dealt.select(*[F.col(f"_row.`{c}`").alias(c) for c in names if c != "copy_no"], "copy_no")
