@@ -92,10 +92,14 @@ def sample_by_generator(rows: DataFrame, target: int, seed: int) -> DataFrame:
 
 
 def balance(rows: DataFrame, target: int = 2000, seed: int = 42, mode: str = "parity") -> DataFrame:
-    """Dispositions with ``selected``; candidates that are not drawn get the reason not_sampled."""
+    """Dispositions with ``selected``; candidates that are not drawn get the reason not_sampled.
+
+    ``rows`` are persisted, as counts, draw and result all read them: URLs are parsed and dealt once.
+    """
     if target < 1:
         raise ValueError("target per label must be at least 1")
     validate_seed(seed)
+    rows = rows.persist()
     drawn = {"parity": sample_by_generator, "hash": sample_by_hash}[mode](rows, target, seed)
     selected = F.col("reason").isNull() & F.coalesce("selected", F.lit(False))
     return drawn.withColumn("candidate", F.col("reason").isNull()).withColumn("selected", selected).withColumn(
