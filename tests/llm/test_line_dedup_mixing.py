@@ -59,7 +59,7 @@ def test_mixing_null_source_and_repeats(spark):
     assert got and set(n.values()) == {2}  # both rows of an id draw alike
 
 
-@pytest.mark.parametrize("name", ["op5_poisson_mixing", "op7_line_dedup", "op6_ngram_jaccard_join", "op8_vantage_point_neighbours", "op1_warc_index_merge"])
+@pytest.mark.parametrize("name", ["op3_rank_order_language_id", "op4_spaced_seed_decontamination", "op5_poisson_mixing", "op7_line_dedup", "op6_ngram_jaccard_join", "op8_vantage_point_neighbours", "op1_warc_index_merge"])
 def test_queries_equal_their_sql(spark, name):
     from oracle import compare
 

@@ -179,8 +179,77 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = kept THEN 're
 FROM k
 """
 
+#: CRC-32 of an id's digits, bit by bit: each byte is followed by eight steps.
+_CRC32_SQL = """xor(list_reduce([4294967295::BIGINT] || flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda ch: [ascii(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295::BIGINT)"""
+
+_OP3_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, doc_id, lang, coalesce({_CRC32_SQL} % 4 = 2, false) AS held_out,
+         lower(' ' || trim(regexp_replace(text, '[^\\p{{{{L}}}}]+', ' ', 'g')) || ' ') AS t
+  FROM {{docs}}
+), points AS (
+  SELECT row_no, list_transform(string_split(t, ''), lambda ch: unicode(ch)::BIGINT) AS c FROM docs WHERE length(t) > 2
+), windowed AS (
+  SELECT row_no, unnest(list_zip(c, c[2:], c[3:])) AS z FROM points
+), grams AS (
+  SELECT row_no, z[1] AS g FROM windowed WHERE z[1] <> 32
+  UNION ALL SELECT row_no, z[1] * 2097152 + z[2] FROM windowed WHERE z[2] IS NOT NULL
+  UNION ALL SELECT row_no, (z[1] * 2097152 + z[2]) * 2097152 + z[3] FROM windowed WHERE z[3] IS NOT NULL AND z[2] <> 32
+), counted AS (
+  SELECT row_no, g, count(*) AS n FROM grams GROUP BY ALL
+), own AS (
+  SELECT row_no, g, row_number() OVER (PARTITION BY row_no ORDER BY n DESC, g) AS r FROM counted QUALIFY r <= {language_id.PROFILE}
+), trained AS (
+  SELECT lang, g, sum(n) AS n FROM counted JOIN docs USING (row_no) WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL
+), profiles AS (
+  SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) AS r FROM trained QUALIFY r <= {language_id.PROFILE}
+), sums AS (
+  SELECT o.row_no, l.lang, sum(coalesce(abs(p.r - o.r), {language_id.PROFILE}))::DOUBLE AS away
+  FROM own o CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.g = o.g GROUP BY ALL
+), best AS (
+  SELECT row_no, lang, away, lead(away) OVER (PARTITION BY row_no ORDER BY away, lang) AS second
+  FROM sums QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY away, lang) = 1
+)
+SELECT doc_id, held_out, coalesce(b.lang, '{language_id.UNKNOWN}') AS lang_pred,
+       CASE WHEN b.lang IS NULL THEN 0 WHEN second IS NULL THEN 1 WHEN second = 0 THEN 0.5 ELSE 1 - 0.5::DOUBLE * away / second END::DOUBLE AS score
+FROM docs d LEFT JOIN best b USING (row_no)
+"""
+
+#: Lays every item over every document along each diagonal with enough equal words; no seeds.
+_OP4_SQL = f"""
+WITH split AS (
+  SELECT true AS is_doc, doc_id AS id, row_number() OVER () AS row_no, text FROM {{docs}}
+  UNION ALL SELECT false, item_id, row_number() OVER (), text FROM {{items}}
+), worded AS (
+  SELECT is_doc, id, row_no, list_filter(list_transform(string_split_regex(lower(text), '[\\s\\p{{{{Z}}}}\\x0B\\x1C-\\x1F\\x85]+'),
+    lambda x: trim(x, '{{edges}}')), lambda x: x <> '') AS w
+  FROM split
+), words AS (
+  SELECT is_doc, id, row_no, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM worded
+), equal AS (
+  SELECT d.id AS doc_id, d.row_no AS doc_row, i.id AS item_id, i.row_no AS item_row, i.n, d.pos, d.pos - i.pos AS shift
+  FROM words d JOIN words i ON d.is_doc AND NOT i.is_doc AND d.word = i.word
+), needed AS (
+  SELECT *, least({decontaminate.MIN_MATCHED}, (4 * n + 4) // 5) AS least_matched FROM equal
+), laid AS (
+  SELECT * FROM needed QUALIFY count(*) OVER (PARTITION BY doc_row, item_row, shift) >= least_matched
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_row, item_row, shift ORDER BY pos) AS k FROM laid
+), stretches AS (
+  SELECT a.doc_id, a.item_id, a.item_row, a.pos AS start, a.pos - a.shift AS item_start, b.pos - a.pos + 1 AS words, b.k - a.k + 1 AS matched
+  FROM numbered a JOIN numbered b ON a.doc_row = b.doc_row AND a.item_row = b.item_row AND a.shift = b.shift AND a.k <= b.k
+  WHERE b.k - a.k + 1 >= a.least_matched AND 5 * (b.k - a.k + 1) >= 4 * (b.pos - a.pos + 1)
+)
+SELECT doc_id, item_id, start::BIGINT AS start, item_start::BIGINT AS item_start, words::BIGINT AS words, matched::BIGINT AS matched
+FROM stretches QUALIFY row_number() OVER (PARTITION BY doc_id, item_row ORDER BY matched DESC, words, start, item_start) = 1
+"""
+
 ORACLE_SQL = {
     "op1_warc_index_merge": _OP1_SQL.format(pages="pages"),
+    "op3_rank_order_language_id": _OP3_SQL.format(docs="documents"),
+    "op4_spaced_seed_decontamination": _OP4_SQL.format(docs="documents", items="benchmark", edges=decontaminate.EDGES.replace("'", "''")),
     "op5_poisson_mixing": _OP5_SQL.format(docs="documents"),
     "op6_ngram_jaccard_join": _OP6_SQL.format(docs="documents"),
     "op8_vantage_point_neighbours": _OP8_SQL.format(vectors="embeddings"),

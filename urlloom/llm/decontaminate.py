@@ -35,12 +35,12 @@ IDENTITY = 0.8
 #: Up to so many seeds, which are counted, are broadcast to the hits.
 BROADCAST_SEEDS = 1_000_000
 _FILTER_BITS = 26
-_EDGES = string.punctuation + "«»“”‘’…¿¡"
+EDGES = string.punctuation + "«»“”‘’…¿¡"
 
 
 def tokens(text: str) -> np.ndarray:
     """Hashes of the lower-cased words of a whole text, without punctuation at their ends."""
-    stripped = [w.strip(_EDGES) for w in text.lower().split()]
+    stripped = [w.strip(EDGES) for w in text.lower().split()]
     return word_hashes([w.encode("utf-8", "surrogatepass") for w in stripped if w])
 
 
