@@ -85,6 +85,20 @@ def test_take_smallest_equals_a_sort(spark):
     assert {(r.c, r.v) for r in got} == want and len(got) == len(want)
 
 
+def test_positions_run_through_ranges(spark):
+    rows = spark.range(3000).select((F.col("id") % 7 % 2).cast("int").alias("c"), F.sha1(F.col("id").cast("string")).alias("v"), F.lit(1).alias("at"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = draws.positioned(rows.repartition(9), "c", ["v"], "pos").withColumn("part", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.part for r in got}) > 3
+    for c in (0, 1):
+        want = sorted(r.v for r in rows.filter(F.col("c") == c).collect())
+        assert [(r.pos, r.v) for r in sorted(got, key=lambda r: r.pos) if r.c == c] == list(enumerate(want))
+    assert draws.positioned(rows.limit(0), "c", ["v"]).count() == 0
+
+
 def test_group_draws_and_conflicts(spark):
     rows = spark.createDataFrame([(f"g{i % 6}", f"u{i}") for i in range(30)], "registered_domain string, url_clean string")
     got = draws.group_candidates(rows, 4, 1).collect()

@@ -58,3 +58,17 @@ def best_ranks(rows: DataFrame, taken: DataFrame, group: str = "registered_domai
     """(group, rank, domain): the best-ranked candidate of each group that ``taken`` lacks."""
     left = rows.join(taken.select(group).distinct(), group, "left_anti")
     return left.groupBy(group).agg(F.min(F.struct("rank", "domain")).alias("_b")).select(group, "_b.rank", "_b.domain")
+
+
+def positioned(rows: DataFrame, by: str, order: list[str], name: str = "at") -> DataFrame:
+    """``by``, ``order`` and the position from 0 within ``by``, without a task that holds a whole class.
+
+    Rows are dealt by range of (``by``, ``order``) and sorted within; the counts of the ranges, one row for
+    each class in a range, are summed up and broadcast. Rows of a null class get no position.
+    """
+    dealt = rows.select(by, *order).orderBy(by, *order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    ranged = dealt.withColumn("_range", F.shiftright("_id", 33))
+    counts = ranged.groupBy(by, "_range").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(by, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_start"))
+    return ranged.join(F.broadcast(starts), [by, "_range"]).select(by, *order, (F.col("_id") + F.col("_start")).alias(name))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from urlloom.functions.seeds import derive_seed, draw_positions, unit, validate_seed
 from urlloom.functions.suffixes import DEFAULT_RULES, SuffixRules
 from urlloom.functions.urls import with_clean_urls
-from urlloom.operators.draws import take_smallest
+from urlloom.operators.draws import positioned, take_smallest
 from urlloom.sources.feeds import DATASET, SOURCES, write_csv
 
 #: Orders that pick the row that stands for a URL.
@@ -80,14 +80,16 @@ def sample_by_hash(rows: DataFrame, target: int, seed: int) -> DataFrame:
 
 
 def sample_by_generator(rows: DataFrame, target: int, seed: int) -> DataFrame:
-    """``selected`` for candidates: positions drawn on the driver from the class counts only."""
+    """``selected`` for candidates: positions drawn on the driver from the class counts only.
+
+    The 2 * ``target`` positions at most are broadcast; ``draws.positioned`` numbers the candidates.
+    """
     pool = rows.filter("reason IS NULL")
     counts = {r["label"]: r["count"] for r in pool.groupBy("label").count().collect()}
     k = min(target, counts.get(0, 0), counts.get(1, 0))
     drawn = [(label, p) for label in (0, 1) for p in draw_positions(derive_seed(seed, f"class:{label}"), counts.get(label, 0), k)]
-    positions = rows.sparkSession.createDataFrame(drawn, "label int, at int")
-    numbered = pool.withColumn("at", F.row_number().over(Window.partitionBy("label").orderBy(*_POOL)) - 1)
-    chosen = numbered.join(positions, ["label", "at"], "left_semi").select("label", "url_clean", F.lit(True).alias("selected"))
+    positions = rows.sparkSession.createDataFrame(drawn, "label int, at long")
+    chosen = positioned(pool, "label", list(_POOL)).join(F.broadcast(positions), ["label", "at"], "left_semi").select("label", "url_clean", F.lit(True).alias("selected"))
     return rows.join(chosen, ["label", "url_clean"], "left")
 
 

