@@ -444,13 +444,15 @@ def q41_derived_labels(spark, sf_dir):
     return observations.derive_labels(_values(spark, f"{_SEEN} AS s(observation_id)"), reviews)
 
 
+#: All pages are planned; every seventh is observed under another id, and every eleventh has another URL in the plan.
 @query("""SELECT CASE WHEN g.id IS NULL THEN p.id ELSE g.id END AS candidate_id, CASE WHEN g.id IS NULL THEN 'missing' WHEN p.id IS NULL THEN 'unplanned' ELSE 'differs' END AS problem
-FROM (SELECT page_id AS id, url FROM pages WHERE page_id % 7 <> 0) g FULL JOIN (SELECT page_id AS id, CASE WHEN page_id % 11 = 0 THEN url || '!' ELSE url END AS url FROM pages WHERE page_id % 5 <> 0) p ON g.id = p.id
+FROM (SELECT CASE WHEN page_id % 7 = 0 THEN -page_id - 1 ELSE page_id END AS id, url FROM pages) g FULL JOIN (SELECT page_id AS id, CASE WHEN page_id % 11 = 0 THEN url || '!' ELSE url END AS url FROM pages) p ON g.id = p.id
 WHERE g.id IS NULL OR p.id IS NULL OR g.url <> p.url""")
 def q42_plan_mismatches(spark, sf_dir):
     rows = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("candidate_id"), F.col("url").alias("url_clean"), F.lit(0).alias("candidate_class"), F.lit("s").alias("source"))
     changed = rows.withColumn("url_clean", F.when(F.col("candidate_id") % 11 == 0, F.concat("url_clean", F.lit("!"))).otherwise(F.col("url_clean")))
-    return observations.plan_mismatches(rows.filter("candidate_id % 7 <> 0"), changed.filter("candidate_id % 5 <> 0"))
+    observed = rows.withColumn("candidate_id", F.when(F.col("candidate_id") % 7 == 0, -F.col("candidate_id") - 1).otherwise(F.col("candidate_id")))
+    return observations.plan_mismatches(observed, changed)
 
 
 @query(f"SELECT model, seed, seed <> 2 AS matches FROM {_BY_SEED}")
